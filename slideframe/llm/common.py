@@ -78,13 +78,23 @@ class Words:
         return word_hashes(self.buf, self.start)
 
 
-def word_hashes(buf: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word; ``buf`` must consist of words with one space after each."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    size = np.diff(start, append=len(buf))
-    at = np.arange(len(buf)) - np.repeat(start, size)
-    return mix64(np.add.reduceat((buf.astype(np.uint64) + np.uint64(1)) * powers(int(size.max()))[at], start))
+def word_hashes(buf: np.ndarray, start: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each word; ``buf`` must consist of words with one space after each.
+
+    Works on about ``block`` bytes at a time: the products take eight bytes a byte.
+    """
+    out = np.empty(len(start), np.uint64)
+    bound = np.append(start, len(buf))
+    table, lo = powers(64), 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(bound, bound[lo] + block, "right")) - 1)
+        size = np.diff(bound[lo : hi + 1])
+        if size.max() > len(table):
+            table = powers(2 * int(size.max()))
+        at = slices(np.zeros(hi - lo, np.int64), size)
+        out[lo:hi] = np.add.reduceat((buf[bound[lo] : bound[hi]].astype(np.uint64) + np.uint64(1)) * table[at], bound[lo:hi] - bound[lo])
+        lo = hi
+    return mix64(out)
 
 
 def run_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -32,7 +32,7 @@ from . import common
 from .common import Words, mix64, run_hashes, slices, sliding_min, word_hashes
 
 NULL_ID = -(1 << 63)
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 MOST_WINDOWS = 64  # of one packed string
 HOT = 4  # times the mean load of a bin
 
@@ -115,7 +115,7 @@ def _send(bits: int, k: int, m: int, buckets: int, hot: dict[int, tuple[int, int
     hot_bins = np.array(sorted(hot), np.uint64)
 
     def send(batches):
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=3)
         turn = 0
         for ids, rids, texts in _chunks(batches):
             runs = _Runs(texts, k, m)
@@ -255,9 +255,17 @@ def _ranges(ids, rids, lo, hi) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rids, pa.int64()), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["_d", "_r", "lo", "hi"])
 
 
+def _squeeze(batches):
+    """Texts travel to their ranges compressed."""
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([squeeze.compress(t.as_buffer()) for t in b.column(3)], pa.binary())], ["id", "_d", "_r", "_z"])
+
+
 def _cut(batches):
     for batch in batches:
-        texts, spans = batch.column("_t").cast(pa.binary()).to_pylist(), batch.column("_spans").to_pylist()
+        unsqueeze = zstandard.ZstdDecompressor()
+        texts, spans = map(unsqueeze.decompress, batch.column("_z").to_pylist()), batch.column("_spans").to_pylist()
         n, gone, kept = [], [], []
         for text, ranges in zip(texts, spans, strict=True):
             words = text.split()
@@ -270,11 +278,11 @@ def _cut(batches):
                 words = [w for w, stay in zip(words, keep.tolist(), strict=True) if stay]
             gone.append(n[-1] - len(words))
             kept.append(b" ".join(words))
-        own = [batch.column(c) for c in batch.schema.names if c not in ("_t", "_spans")]
+        own = [batch.column(c) for c in batch.schema.names if c not in ("_z", "_spans")]
         yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept_text"])
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20, m: int = 5, bucket_bytes: int = 24 << 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20, m: int = 3, bucket_bytes: int = 8 << 20) -> DataFrame:
     """Rows (id, n_words, n_removed, kept_text) for every row of ``docs``.
 
     ``kept_text`` is the words that stay, joined by one space. A null text has
@@ -302,5 +310,6 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(base, 1 << 16))
     ranges = sent.repartition(min(parts, max(1, 4 * base)), "bucket").sortWithinPartitions("bucket").mapInArrow(_find(k), "_d long, _r long, lo int, hi int")
     spans = ranges.groupBy("_d", "_r").agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("hi").cast("long"))).alias("_spans"))
-    joined = texts.withColumns({"_d": F.coalesce("id", F.lit(NULL_ID)), "_r": F.xxhash64("_t")}).join(spans, ["_d", "_r"], "left").select("id", "_t", "_spans")
+    packed = texts.select("id", F.coalesce("id", F.lit(NULL_ID)).alias("_d"), F.xxhash64("_t").alias("_r"), "_t").mapInArrow(_squeeze, "id long, _d long, _r long, _z binary")
+    joined = packed.join(spans, ["_d", "_r"], "left").select("id", "_z", "_spans")
     return joined.mapInArrow(_cut, "id long, n_words long, n_removed long, kept_text string")
