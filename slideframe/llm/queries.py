@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.judge(table(spark, sf_dir, "pages"))
+    return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 def _scored(scores: DataFrame, threshold: float) -> DataFrame:
     from .labelled import held_out
 
@@ -65,16 +70,25 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), hex16("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ann": op2_ann,
     "op3_pii": op3_pii,
     "op4_decontaminate": op4_decontaminate,
+    "op5_url_filter": op5_url_filter,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op9_quality": op9_quality,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": decontaminate.ORACLE_SQL,
+    "op5_url_filter": url_filter.ORACLE_SQL,
 }
