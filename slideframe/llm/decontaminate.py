@@ -122,6 +122,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns kept, that aren't contaminated."""
+    found = decontaminate(docs, benchmark, id_col=id_col, text_col=text_col, **options)
+    bad = durable(found.where("contaminated").select(F.col("id").alias("_bad_id"), F.col("r").alias("_bad_r")).distinct())
+    same = F.col(id_col).eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.col(text_col)) == F.col("_bad_r"))
+    return docs.join(_small(bad), same, "left_anti")
+
+
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import durable, ensure_shared_dir
 from .labelled import labelled_sample
@@ -177,5 +178,5 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col:
             x = np.array([statistics(t or "") for t in b.column(at).to_pylist()]).reshape(b.num_rows, SIZE)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(x))], [*b.schema.names, score_col])
 
-    schema = docs.schema.add(score_col, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
     return docs.mapInArrow(run, schema)

@@ -70,6 +70,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), hex16("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    model, members = mixing.fit(table(spark, sf_dir, "documents"))
+    return mixing.rated(members, model).withColumnRenamed("id", "doc_id")
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract
 
@@ -84,6 +91,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
+    "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_html_text": op10_html_text,
 }

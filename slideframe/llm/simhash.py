@@ -48,14 +48,19 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 def _fingerprints(words: int, seed: int):
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array([fingerprint(t.as_py(), words, seed) for t in b.column(1)], np.uint64).view(np.int64))], ["id", "fp"])
+            found = np.array([fingerprint(t.as_py(), words, seed) for t in b.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found.view(np.int64))], ["id", "r", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp) per row; a null text counts as empty."""
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(_fingerprints(words, seed), "id long, fp long")
+    """(id, r, fp) per row; r is a hash of the text, and a null text counts as empty."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("r"), F.col(text_col).alias("t")).mapInArrow(_fingerprints(words, seed), "id long, r long, fp long")
+
+
+def text_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def blocks(lo: int, hi: int, n: int) -> list[tuple[int, int]]:
@@ -157,7 +162,10 @@ def near_edges(fps: DataFrame, budget: int = 2, most: int = 1 << 20) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 2, seed: int = 42, most: int = 1 << 20) -> DataFrame:
-    """(id, fp, component) per row; component is the least id reachable over links of ``budget`` bits.
+    """(id, r, fp, root, component) per row; component is the least id reachable over links of ``budget`` bits.
+
+    ``root`` is the class's least fingerprint as a signed number, and r a hash
+    of the text.
 
     Equal fingerprints are linked. Texts without words, null ones included, have
     fingerprint zero. Repeated rows each give a row. A null id takes part,
@@ -168,10 +176,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = durable(fingerprints(docs, id_col, text_col, words, seed))
     nodes = found.groupBy("fp").agg(F.min("id").alias("low"))
     roots = components.connected_components(near_edges(nodes.select("fp"), budget, most))
-    tied = nodes.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "low")
-    tied = tied.join(tied.groupBy("root").agg(F.min("low").alias("component")), "root").select("fp", "component")
-    alone = nodes.join(tied, "fp", "left").select("fp", F.coalesce("component", "low").alias("component"))
-    return found.join(alone, "fp").select("id", "fp", "component")
+    classes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    lows = classes.where("root <> fp").select("root").distinct()  # classes of one need no second look
+    tied = classes.join(lows, "root", "left_semi").groupBy("root").agg(F.min("low").alias("least"))
+    classes = classes.join(tied, "root", "left").select("fp", "root", F.coalesce("least", "low").alias("component"))
+    return found.join(classes, "fp").select("id", "r", "fp", "root", "component")
+
+
+NULL_ID = -(1 << 63)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns kept, with one row of each class of near-duplicates.
+
+    The least id stays, null ids last; of rows that share it, the one with
+    the least text hash, and of rows repeated entirely any one.
+    """
+    rows = near_duplicates(docs, id_col, text_col, **options)
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "r")).alias("b"))
+    best = best.select(F.coalesce("b.id", F.lit(NULL_ID)).alias("_keep_id"), F.col("b.r").alias("_keep_r"))
+    marked = docs.withColumns({"_keep_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "_keep_r": text_hash(text_col)})
+    return marked.join(best, ["_keep_id", "_keep_r"], "left_semi").dropDuplicates(["_keep_id", "_keep_r"]).select(*docs.columns)
 
 
 def hex16(fp):
