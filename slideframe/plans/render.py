@@ -33,37 +33,38 @@ def table_html(rows) -> Column:
 
 def flat_list(items) -> Column:
     """A list of plain items, each differing from the one before."""
-    kept = F.filter(_c(items), lambda x, i: (i == 0) | (x != F.try_element_at(_c(items), i)))
+    kept = F.filter(_c(items), lambda x, i: (i == 0) | (x != F.try_element_at(_c(items), F.greatest(i, F.lit(1)))))
     return F.when(F.size(kept) > 0, tag("<ul>", glue(F.transform(kept, lambda x: tag("<li>", X.escape(x), "</li>"))), "</ul>"))
 
 
-def nested_list(texts: Column, levels: Column) -> Column:
-    """Lists nested by depth; tags between entries follow from neighbouring depths."""
-    d = list_depths(levels)
-    entries = F.zip_with(texts, F.zip_with(d, F.concat(F.slice(d, 2, F.greatest(F.size(d) - 1, F.lit(1))), F.array(F.lit(-1))), lambda a, b: F.struct(a.alias("at"), b.alias("next"))), lambda t, x: F.struct(t.alias("t"), x["at"].alias("at"), x["next"].alias("next")))
+def nested_list(texts: Column, depths: Column) -> Column:
+    """Lists nested by depth; the tags after an entry follow from its depth and the next one's."""
 
-    def entry(e):
-        closing = F.when(e["next"] == e["at"] + 1, "<ul>").when(e["next"] < 0, tag("</li></ul>", F.repeat(F.lit("</li></ul>"), e["at"])))
-        return tag("<li>", e["t"], closing.otherwise(tag("</li>", F.repeat(F.lit("</ul></li>"), e["at"] - e["next"]))))
+    def entry(text, i):
+        at, then = F.element_at(depths, i + 1), F.coalesce(F.try_element_at(depths, i + 2), F.lit(-1))
+        closing = F.when(then > at, "<ul>").otherwise(tag("</li>", F.repeat(F.lit("</ul></li>"), at - F.greatest(then, F.lit(0))), F.when(then < 0, "</ul>")))
+        return tag("<li>", text, closing)
 
-    return F.when(F.size(texts) > 0, tag("<ul>", glue(F.transform(entries, entry)))).otherwise("")
+    return tag("<ul>", glue(F.transform(texts, entry)))
 
 
 def text_html(paras, size: int = 0) -> Column:
     """Paragraphs of a block: a lone one, or runs of prose and of bullets."""
-    p = F.transform(_c(paras), lambda x: F.struct(F.replace(x["text"], F.lit("\n"), F.lit("<br>")).alias("text"), x["level"].alias("level"), F.coalesce(x["nobullet"], F.lit(False)).alias("prose")))
+    p = _c(paras)
     empty = F.array().cast("array<struct<prose:boolean,texts:array<string>,levels:array<int>>>")
+    prose = lambda x: F.coalesce(x["nobullet"], F.lit(False))
+    line = lambda x: F.replace(x["text"], F.lit("\n"), F.lit("<br>"))
 
     def add(acc, x):
         last = F.try_element_at(acc, F.lit(-1))
-        same = (F.size(acc) > 0) & (last["prose"] == x["prose"])
-        grown = F.struct(x["prose"].alias("prose"), F.concat(last["texts"], F.array(x["text"])).alias("texts"), F.concat(last["levels"], F.array(x["level"])).alias("levels"))
-        alone = F.struct(x["prose"].alias("prose"), F.array(x["text"]).alias("texts"), F.array(x["level"]).alias("levels"))
-        return F.when(same, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(alone)))
-
-    runs = F.aggregate(p, empty, add)
-    many = glue(F.transform(runs, lambda r: F.when(r["prose"], glue(F.transform(r["texts"], lambda t: tag("<p>", t, "</p>")))).otherwise(nested_list(r["texts"], r["levels"]))))
-    html = F.when(F.size(p) == 1, tag("<p>", p[0]["text"], "</p>")).otherwise(many)
+        joins = (F.size(acc) > 0) & (last["prose"] == prose(x))
+        before = F.when(joins, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc)
+        grown = F.struct(prose(x).alias("prose"), F.concat(F.when(joins, last["texts"]).otherwise(F.array().cast("array<string>")), F.array(line(x))).alias("texts"), F.concat(F.when(joins, last["levels"]).otherwise(F.array().cast("array<int>")), F.array(x["level"])).alias("levels"))
+        return F.concat(before, F.array(grown))
+
+    deep = F.transform(F.aggregate(p, empty, add), lambda r: F.struct(r["prose"].alias("prose"), r["texts"].alias("texts"), list_depths(r["levels"]).alias("depths")))
+    many = glue(F.transform(deep, lambda r: F.when(r["prose"], glue(F.transform(r["texts"], lambda t: tag("<p>", t, "</p>")))).otherwise(nested_list(r["texts"], r["depths"]))))
+    html = F.when(F.size(p) == 1, tag("<p>", F.replace(p[0]["text"], F.lit("\n"), F.lit("<br>")), "</p>")).otherwise(many)
     return F.when(F.size(p) == 0, "").otherwise(X.sized(html, size))
 
 
