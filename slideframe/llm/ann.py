@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, ensure_shared_dir
+from .common import durable, ensure_shared_dir, hashed_sample
 
 PIVOTS = 128  # the bounded sample that the index is fitted on
 PREFIX = 32  # nearest pivots that represent a vector
@@ -40,7 +40,7 @@ def choose_pivots(vectors: DataFrame, n: int = PIVOTS) -> np.ndarray:
     size = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if size is None:
         return np.zeros((0, 0))
-    rows = vectors.where(F.size("v") == size["d"]).orderBy(F.xxhash64("id"), "id").limit(4 * n).select("v").collect()
+    rows = hashed_sample(vectors.where(F.size("v") == size["d"]), ["id"], 4 * n, size["count"]).select("v").collect()
     return np.array(list(dict.fromkeys(tuple(r["v"]) for r in rows))[:n])
 
 

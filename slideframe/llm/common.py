@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Spark's catalogue name of the setting for the folder that driver and executors share.
 SHARED_DIR = "spark.checkpoint.dir"
@@ -31,6 +32,19 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def hashed_sample(df: DataFrame, key: list[Column | str], rows: int, of: int) -> DataFrame:
+    """At most ``rows`` rows, those with the least hashes of ``key``; ``of`` is the number of rows, or more.
+
+    A bound on the hash first leaves about as many rows as wanted, so what is
+    sorted doesn't grow with the input or its partitions.
+    """
+    h = F.xxhash64(F.lit("sample"), *key)
+    if of > rows:
+        share = (rows + 4 * rows**0.5 + 20) / of
+        df = df.where(h < F.lit(int(-(1 << 63) + min(1.0, share) * ((1 << 64) - 1))))
+    return df.orderBy(h, *key).limit(rows)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """SplitMix64's finalizer: spreads 64-bit values evenly."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

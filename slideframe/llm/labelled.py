@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, hashed_sample
 
 FOLDS = 5
 
@@ -25,7 +25,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int,
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(target).cast("double").alias("y"))
     known = known.where(F.col("y").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
-    known = durable(known.orderBy(F.xxhash64("id"), "id").limit(rows))
+    known = durable(known)
+    known = durable(hashed_sample(known, ["id"], rows, known.count()))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return durable(texts.join(F.broadcast(known), "id"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, ensure_shared_dir
+from .common import durable, ensure_shared_dir, hashed_sample
 
 BUCKETS = 4096  # hashed byte pairs
 MOST_DOMAINS = 64
@@ -65,8 +65,7 @@ def fit_domains(docs: DataFrame, domain_col: str = "lang", text_col: str = "text
     empty texts are left out. Without labelled rows there is one domain.
     """
     known = docs.select(F.col(domain_col).cast("string").alias("y"), F.col(text_col).alias("t")).where("y is not null and length(t) > 1")
-    known = known.withColumn("h", F.xxhash64("t", "y"))
-    sample = durable(known.orderBy("h", "y").limit(rows))
+    sample = durable(hashed_sample(known, ["t", "y"], rows, docs.where(F.col(domain_col).isNotNull()).count()))
     names = [r["y"] for r in sample.groupBy("y").count().orderBy(F.desc("count"), "y").limit(most).collect()]
     if not names:
         return Mixture([OTHER], np.zeros(1), np.zeros((BUCKETS, 1)))
