@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -133,9 +135,7 @@ def file_url(path) -> Column:
 
 def media_reference(src, root: str) -> Column:
     """The file name that an image source refers to, else the empty string."""
-    import re
-
-    return F.regexp_extract(_c(src), re.escape(root).replace("@", "@") + "(.+)$", 1)
+    return F.regexp_extract(_c(src), re.escape(root) + "(.+)$", 1)
 
 
 def with_font(xml, font: str, allowed: tuple[str, ...]) -> Column:
