@@ -313,3 +313,23 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     packed = texts.select("id", F.coalesce("id", F.lit(NULL_ID)).alias("_d"), F.xxhash64("_t").alias("_r"), "_t").mapInArrow(_squeeze, "id long, _d long, _r long, _z binary")
     joined = packed.join(spans, ["_d", "_r"], "left").select("id", "_z", "_spans")
     return joined.mapInArrow(_cut, "id long, n_words long, n_removed long, kept_text string")
+
+
+#: The contract's query for DuckDB: every window, its first place, and the words that no later one covers.
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+  SELECT doc_id, s, array_to_string(w[s : s + 19], ' ') AS words FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)
+), later AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY words ORDER BY doc_id, s) AS k FROM win) WHERE k > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM later
+), word AS (
+  SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
