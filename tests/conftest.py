@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 def spark():
     s = (
         SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '8')}]")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")

@@ -11,7 +11,7 @@ from decks import deck, para, slide, sp
 from slideframe.functions import images as I
 from slideframe.model import ImportOptions
 from slideframe.plans import sink
-from slideframe.sources import pdf
+from slideframe.sources import office, package, pdf
 from slideframe.streaming import imports
 
 
@@ -154,3 +154,24 @@ def test_stream_admits_a_lesson_once(spark, tmp_path):
     q = imports.once_per_lesson(rows).writeStream.format("parquet").option("path", f"{tmp_path}/o").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r["lesson_id"] for r in spark.read.parquet(f"{tmp_path}/o").collect()) == ["L", "M"]
+
+
+def test_office(monkeypatch):
+    theme = b'<a:latin typeface="Old"/><q:latin typeface="Older" panose="1"/>'
+    content = deck([slide()], extra={"ppt/theme/theme1.xml": theme, "ppt/media/latin.bin": b'<a:latin typeface="Old"/>'})
+    changed = package.Package(office.with_render_font(content, "Arial"))
+    assert changed.read("ppt/theme/theme1.xml") == b'<a:latin typeface="Arial"/><q:latin typeface="Arial" panose="1"/>'
+    assert changed.read("ppt/media/latin.bin") == b'<a:latin typeface="Old"/>'
+    assert office.with_render_font(content, "Wingdings") == content
+    with pytest.raises(package.TooLarge):
+        office.check_sizes(content, part_limit=10)
+    calls, now = [], [0.0]
+    probe = office.Availability(lambda: calls.append(1) or True, 10, lambda: now[0])
+    assert probe() and probe() and len(calls) == 1
+    now[0] = 11.0
+    assert probe() and len(calls) == 2
+    monkeypatch.setenv("PATH", "/nowhere")
+    assert probe() and len(calls) == 3
+    assert not office.runs(["no-such-program-here"], "x")
+    with pytest.raises(RuntimeError):
+        next(office.libreoffice(content))
