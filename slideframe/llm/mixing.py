@@ -196,5 +196,5 @@ def mixed(docs: DataFrame, model: Mixture, text_col: str = "text", ridge: float
 
     out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("rate", T.DoubleType())]))
     chance = F.pmod(F.xxhash64(F.lit("copies"), F.col(text_col)), F.lit(1 << 20)) / (1 << 20)
-    copies = F.floor(F.col("rate") + chance).cast("int")
+    copies = F.floor(F.round("rate", 3) + chance).cast("int")  # a rate of one within rounding is one
     return out.withColumn("copy_no", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))

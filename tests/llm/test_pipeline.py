@@ -76,7 +76,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     copies = Counter(r["doc_id"] for r in last)
     p = np.array([model.posterior(t) for t in safe.values()])
     for i, rate in zip(safe, model.rates(p, 1e-3), strict=True):
-        assert int(rate) <= copies[i] <= int(rate) + 1
+        assert int(rate + 1e-3) <= copies[i] <= int(rate + 1e-3) + 1
 
 
 def test_run_survives_odd_rows(spark, tmp_path):
