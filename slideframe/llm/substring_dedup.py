@@ -14,7 +14,8 @@ Scale: a first pass counts the words that each minimiser bin would receive. Bins
 far above the mean are dealt out by window instead, so a hot minimiser is
 spread over many buckets. Each map chunk sends one copy of a packed string;
 further copies in the chunk are settled there. Reducers stream bucket by
-bucket; a bucket's size is set by ``bucket_bytes``, not by the input.
+bucket; a bucket's size is set by ``bucket_bytes``, not by the input, and one that
+copies make larger is settled piece by piece, so memory stays bounded.
 """
 
 from __future__ import annotations
@@ -222,31 +223,51 @@ def later_windows(ids, start, size, body: bytes, k: int, hashed=run_hashes):
     return order[of[copy]], s[copy], order
 
 
-def _find(k: int):
-    def found(rows):
-        ids, rids, start, size, body = (np.concatenate([r[i] for r in rows]) if i < 4 else b"".join(r[4] for r in rows) for i in range(5))
-        of, at, _ = later_windows(ids, start, size.astype(np.int64), body, k)
-        if not len(of):
-            return
+def _joined(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    ids, rids, start, size = (np.concatenate([r[i] for r in rows]) for i in range(4))
+    return ids, rids, start, size.astype(np.int64), b"".join(r[4] for r in rows)
+
+
+def _settle(rows, k: int):
+    """The ranges of later windows, and the strings that still hold a first one."""
+    ids, rids, start, size, body = _joined(rows)
+    of, at, _ = later_windows(ids, start, size, body, k)
+    out = None
+    if len(of):
         cut = np.flatnonzero((np.diff(of) != 0) | (np.diff(at) != 1)) + 1
         head, tail = np.concatenate([[0], cut]), np.concatenate([cut, [len(of)]]) - 1
-        yield _ranges(ids[of[head]], rids[of[head]], at[head], at[tail] + k)
+        out = _ranges(ids[of[head]], rids[of[head]], at[head], at[tail] + k)
+    begin = np.cumsum(size) - size
+    spaces = np.concatenate([[0], np.cumsum(np.frombuffer(body, np.uint8) == 32)])
+    windows = spaces[begin + size] - spaces[begin] - (k - 1)
+    keep = np.flatnonzero(np.bincount(of, minlength=len(ids)) < windows)
+    left = b"".join([body[a : a + n] for a, n in zip(begin[keep].tolist(), size[keep].tolist(), strict=True)])
+    return out, (ids[keep], rids[keep], start[keep], size[keep], left)
+
+
+def _find(k: int, most: int):
+    """Streams buckets; one that outgrows ``most`` bytes is settled as it comes, copies of what it holds are let go."""
 
     def find(batches):
-        held, bucket = [], None
+        held, bucket, size, limit = [], None, 0, most
         for batch in batches:
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 row = _unpack(blob.as_py())
                 if b < 0:
                     yield _ranges(row[0], row[1], row[2], row[2] + row[3])
                     continue
-                if b != bucket and held:
-                    yield from found(held)
-                    held = []
+                if held and (b != bucket or size > limit):
+                    out, left = _settle(held, k)
+                    if out is not None:
+                        yield out
+                    held = [left] if b == bucket else []
+                    size = len(left[4]) if held else 0
+                    limit = max(most, 2 * size)
                 bucket = b
                 held.append(row)
-        if held:
-            yield from found(held)
+                size += len(row[4])
+        if held and (out := _settle(held, k)[0]) is not None:
+            yield out
 
     return find
 
@@ -296,7 +317,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # words never span texts; bytes are those of UTF-8
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     keyed = texts.select(F.coalesce("id", F.lit(NULL_ID)).alias("_d"), F.xxhash64("_t").alias("_r"), "_t")
-    bits = min(22, max(12, int(common.input_bytes(docs) // (8 << 20)).bit_length()))
+    bits = min(24, max(12, int(common.input_bytes(docs) // (8 << 20)).bit_length()))
     bins = common.durable(keyed.mapInArrow(_count_bins(bits, k, m), "bin long, words long, bytes long").groupBy("bin").agg(F.sum("words").alias("words"), F.sum("bytes").alias("bytes")))
     total = bins.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()["bytes"]
     buckets = max(1, -(-total // bucket_bytes))
@@ -308,7 +329,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         base += spread
     sent = keyed.mapInArrow(_send(bits, k, m, buckets, hot), "bucket long, blob binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(base, 1 << 16))
-    ranges = sent.repartition(min(parts, max(1, 4 * base)), "bucket").sortWithinPartitions("bucket").mapInArrow(_find(k), "_d long, _r long, lo int, hi int")
+    ranges = sent.repartition(min(parts, max(1, 4 * base)), "bucket").sortWithinPartitions("bucket").mapInArrow(_find(k, 4 * bucket_bytes), "_d long, _r long, lo int, hi int")
     spans = ranges.groupBy("_d", "_r").agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("hi").cast("long"))).alias("_spans"))
     packed = texts.select("id", F.coalesce("id", F.lit(NULL_ID)).alias("_d"), F.xxhash64("_t").alias("_r"), "_t").mapInArrow(_squeeze, "id long, _d long, _r long, _z binary")
     joined = packed.join(spans, ["_d", "_r"], "left").select("id", "_z", "_spans")

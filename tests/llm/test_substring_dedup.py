@@ -64,6 +64,23 @@ def test_small_chunks(spark, monkeypatch):
     check(spark, rows_of(4), k=6, m=2, bucket_bytes=500)
 
 
+def test_buckets_settled_piece_by_piece():
+    rows = rows_of(6, 60)
+    strings = [(d, t) for d, t in rows if t]
+    packed = []
+    for n, (d, t) in enumerate(strings):
+        w = t.encode().split()
+        if len(w) >= 20:
+            body = b"".join(x + b" " for x in w)
+            packed.append(sd._row(1, sd._pack(np.array([d if d is not None else -1]), np.array([n]), np.array([0]), np.array([len(body)]), body, sd.zstandard.ZstdCompressor())))
+    want, got = (set(), set())
+    for out, most in ((want, 1 << 30), (got, 2000)):
+        for b in sd._find(20, most)(iter(packed)):
+            for r, lo, hi in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                out.update((r, i) for i in range(lo, hi))
+    assert want == got and want
+
+
 def test_repeated_rows_and_shared_ids(spark):
     rows = rows_of(3, 20)
     rows = rows + rows[:3] + [(rows[1][0], "other " + (rows[3][1]))]
