@@ -39,9 +39,9 @@ def hashed_sample(df: DataFrame, key: list[Column | str], rows: int, of: int) ->
     sorted doesn't grow with the input or its partitions.
     """
     h = F.xxhash64(F.lit("sample"), *key)
-    if of > rows:
-        share = (rows + 4 * rows**0.5 + 20) / of
-        df = df.where(h < F.lit(int(-(1 << 63) + min(1.0, share) * ((1 << 64) - 1))))
+    share = (rows + 4 * rows**0.5 + 20) / max(of, 1)
+    if share < 0.999:
+        df = df.where(h < F.lit(int((share - 0.5) * 2.0**64)))
     return df.orderBy(h, *key).limit(rows)
 
 
