@@ -228,8 +228,8 @@ def _joined(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes
     return ids, rids, start, size.astype(np.int64), b"".join(r[4] for r in rows)
 
 
-def _settle(rows, k: int):
-    """The ranges of later windows, and the strings that still hold a first one."""
+def _settle(rows, k: int, keep_on: bool):
+    """The ranges of later windows, and if the bucket goes on the strings that still hold a first one."""
     ids, rids, start, size, body = _joined(rows)
     of, at, _ = later_windows(ids, start, size, body, k)
     out = None
@@ -237,6 +237,8 @@ def _settle(rows, k: int):
         cut = np.flatnonzero((np.diff(of) != 0) | (np.diff(at) != 1)) + 1
         head, tail = np.concatenate([[0], cut]), np.concatenate([cut, [len(of)]]) - 1
         out = _ranges(ids[of[head]], rids[of[head]], at[head], at[tail] + k)
+    if not keep_on:
+        return out, None
     begin = np.cumsum(size) - size
     spaces = np.concatenate([[0], np.cumsum(np.frombuffer(body, np.uint8) == 32)])
     windows = spaces[begin + size] - spaces[begin] - (k - 1)
@@ -257,16 +259,16 @@ def _find(k: int, most: int):
                     yield _ranges(row[0], row[1], row[2], row[2] + row[3])
                     continue
                 if held and (b != bucket or size > limit):
-                    out, left = _settle(held, k)
+                    out, left = _settle(held, k, b == bucket)
                     if out is not None:
                         yield out
-                    held = [left] if b == bucket else []
-                    size = len(left[4]) if held else 0
+                    held = [left] if left else []
+                    size = len(left[4]) if left else 0
                     limit = max(most, 2 * size)
                 bucket = b
                 held.append(row)
                 size += len(row[4])
-        if held and (out := _settle(held, k)[0]) is not None:
+        if held and (out := _settle(held, k, False)[0]) is not None:
             yield out
 
     return find
