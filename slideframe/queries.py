@@ -256,7 +256,7 @@ r AS (SELECT doc_id, line_no, level, 0 AS depth FROM l WHERE line_no = 0 UNION A
 SELECT doc_id, line_no, depth FROM r""",
 )
 def list_depths(spark, sf):
-    levels = lines(spark, sf).where("line_no < 60").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", (F.char_length("line") % 9).alias("level")))).alias("l"))
+    levels = lines(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", (F.char_length("line") % 9).alias("level")))).alias("l"))
     return levels.select("doc_id", F.posexplode(L.list_depths(F.col("l.level"))).alias("line_no", "depth"))
 
 
