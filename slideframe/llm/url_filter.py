@@ -1,9 +1,11 @@
 """URL filtering by rules and, where no rule fits, by link-graph propagation.
 
 Hosts that rules allow or block are seeds. Trust flows from allowed seeds along host
-links (personalised PageRank); distrust flows from blocked seeds along reversed
-links. A host is blocked if its distrust exceeds its trust by a threshold. DataFrame
-functions only.
+links; distrust flows from blocked seeds along reversed links. What reaches a host is
+the mean over its own links, those to it for trust and those from it for distrust,
+so it doesn't thin out with the number of other hosts that link to a seed or that a
+seed links to. A host is blocked if its distrust exceeds its trust by a threshold.
+DataFrame functions only.
 
 Scale: pages are scanned for links, which become counted host edges by partial
 aggregation. Each step of propagation is a join and a grouped sum on hosts, and is
@@ -61,11 +63,13 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """(host, score): personalised PageRank from the seeds (host, seed), by a fixed number of steps.
+    """(host, score): scores that flow from the seeds (host, seed) along the edges, by a fixed number of steps.
 
-    Scores are in units of the restart: a seed without links keeps its seed value.
+    Each step a host gets its seed value and the damped mean of the scores at the
+    other ends of its incoming edges, weighed by their links. A host without
+    incoming edges keeps its seed value.
     """
-    weights = durable(edges.join(edges.groupBy("src").agg(F.sum("n").alias("total")), "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w")))
+    weights = durable(edges.join(edges.groupBy("dst").agg(F.sum("n").alias("total")), "dst").select("src", "dst", (F.col("n") / F.col("total")).alias("w")))
     start = durable(seeds.select("host", F.col("seed").alias("score")))
     rank = start
     for _ in range(steps):
