@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, ensure_shared_dir, hashed_sample
+from .common import durable, ensure_shared_dir
 
 BUCKETS = 4096  # hashed byte pairs
-MOST_DOMAINS = 64
+LEAST_SAMPLE = 50  # texts of a domain
 OTHER = ""
 
 
@@ -58,38 +58,56 @@ class Mixture:
         return r
 
 
-def fit_domains(docs: DataFrame, domain_col: str = "lang", text_col: str = "text", rows: int = 20_000, most: int = MOST_DOMAINS) -> Mixture:
-    """A naive Bayes classifier on at most ``rows`` labelled texts, those with the least hashes.
+def _level(sizes: list[int], rows: int) -> int:
+    """The most texts a domain may give so that all together give about ``rows``, and at least ``LEAST_SAMPLE``."""
+    left = rows
+    for i, size in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - i)
+        if size > share:
+            return max(share, LEAST_SAMPLE)
+        left -= size
+    return max([LEAST_SAMPLE, *sizes])
 
-    Labels beyond the ``most`` commonest are joined as one. Null labels and
-    empty texts are left out. Without labelled rows there is one domain.
+
+def fit_domains(docs: DataFrame, domain_col: str = "lang", text_col: str = "text", rows: int = 20_000, most: int | None = None) -> Mixture:
+    """A naive Bayes classifier on about ``rows`` labelled distinct texts, dealt evenly to the labels.
+
+    Every label is a domain, with the share of its rows as prior; a label of few
+    texts gives them all, and any label up to ``LEAST_SAMPLE``. A domain takes
+    32 KB of the model. Only where ``most`` is given, labels beyond the
+    ``most`` commonest are joined as one. Null labels and empty texts are left
+    out. Without labelled rows there is one domain.
     """
     known = docs.select(F.col(domain_col).cast("string").alias("y"), F.col(text_col).alias("t")).where("y is not null and length(t) > 1")
-    sample = durable(hashed_sample(known, ["t", "y"], rows, docs.where(F.col(domain_col).isNotNull()).count()))
-    names = [r["y"] for r in sample.groupBy("y").count().orderBy(F.desc("count"), "y").limit(most).collect()]
-    if not names:
+    known = known.withColumn("h", F.xxhash64(F.lit("sample"), "t", "y"))
+    counted = known.groupBy("y").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("n"), "y").collect()  # a row a domain
+    if not counted:
         return Mixture([OTHER], np.zeros(1), np.zeros((BUCKETS, 1)))
+    names = [r["y"] for r in counted[:most]]
+    level = _level([r["texts"] for r in counted], rows)
+    wanted = level + 4 * level**0.5 + 20
+    bounds = [(r["y"], int((wanted / r["texts"] - 0.5) * 2.0**64) if wanted < 0.9 * r["texts"] else (1 << 63) - 1) for r in counted]
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(bounds, "y string, bound long"))
+    sample = durable(known.join(bounds, "y").where("h <= bound").select("y", "t").distinct())
     place = {y: i for i, y in enumerate(names)}
     k = len(names) + 1
 
     def count(batches):
-        sums, n = np.zeros((k, BUCKETS)), np.zeros(k)
+        sums = np.zeros((k, BUCKETS))
         for b in batches:
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                i = place.get(y, k - 1)
                 pairs = byte_pairs(t)
-                sums[i] += pairs / np.sqrt(pairs.sum())
-                n[i] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([np.column_stack([sums, n]).tobytes()], pa.binary())], ["sums"])
-
-    total = np.zeros((k, BUCKETS + 1))
-    for (part,) in sample.select("y", "t").repartition(8).mapInArrow(count, "sums binary").toLocalIterator():  # 8 partitions of a bounded sample
-        total += np.frombuffer(part).reshape(total.shape)
-    if not total[-1, -1]:
-        total, k = total[:-1], k - 1
+                sums[place.get(y, k - 1)] += pairs / np.sqrt(pairs.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
+
+    sums = np.zeros((k, BUCKETS))
+    for (part,) in sample.repartition(8).mapInArrow(count, "sums binary").toLocalIterator():  # 8 partitions of a bounded sample
+        sums += np.frombuffer(part).reshape(sums.shape)
+    n = np.array([r["n"] for r in counted[: len(names)]] + [sum(r["n"] for r in counted[len(names) :])], float)
+    if len(counted) == len(names):
+        sums, n = sums[:-1], n[:-1]
     else:
         names.append(OTHER)
-    sums, n = total[:, :-1], total[:, -1]
     theta = (sums + 0.01) / (sums + 0.01).sum(axis=1, keepdims=True)
     return Mixture(names, np.log(n / n.sum()), np.log(theta).T)
 
@@ -132,9 +150,11 @@ def _sums(members: DataFrame, model: Mixture, ridge: float, moments: bool) -> tu
 def fit_rates(members: DataFrame, model: Mixture, targets: dict[str, float] | None = None, power: float = 0.7, ridge: float = 1e-3, steps: int = 40, tolerance: float = 1e-5) -> Mixture:
     """Add the steps that lead from rates of one to rates that match the targets.
 
-    ``targets`` are weights of domains and keep the number of tokens; without
-    them weights are the token shares to the ``power``, and the number of tokens
-    grows until no domain loses any, so that no document need go.
+    ``targets`` are weights of domains and keep the number of tokens; domains
+    left out get none. It is an error to name one that isn't modelled, or to
+    leave out the joined one. Without targets weights are the token shares to
+    the ``power``, and the number of tokens grows until no domain loses any, so
+    that no document need go.
     Residuals are weighed by the inverse of their moments, which makes
     the step one; the ridge draws rates to one.
     """
@@ -146,6 +166,9 @@ def fit_rates(members: DataFrame, model: Mixture, targets: dict[str, float] | No
         goal = totals**power
         goal = goal * np.max((totals / goal)[totals > 0])
     else:
+        lost = sorted({*targets, *({OTHER} & {*model.domains})} - ({*model.domains} & {*targets}))
+        if lost:
+            raise ValueError(f"targets and modelled domains differ in {lost}; the domains are {sorted(model.domains)}")
         goal = np.array([targets.get(d, 0.0) for d in model.domains])
         goal = goal / goal.sum() * tokens
     model.targets = goal
