@@ -8,7 +8,8 @@ the pair (root, root) down, adding up differing bits and dropping a pair when
 they exceed the budget.
 
 Scale: only distinct 8-byte fingerprints travel, b+1 times. A group of more than
-``most`` fingerprints is dealt out again by blocks of its remaining bits.
+``most`` fingerprints is dealt out again by blocks of its remaining bits, and
+again while a part is still too large.
 Found pairs are merged where they are found, so rows out stay in
 proportion to the fingerprints however dense a group is.
 """
@@ -141,24 +142,56 @@ def _forest(budget: int, rows: int = 1 << 20):
     return run
 
 
-def _block_key(fp, bounds: list[tuple[int, int]], salt):
-    """One 64-bit key per block: the block's number and bits (hash clashes only enlarge a group)."""
-    return F.array(*[F.xxhash64(salt, F.lit(lo), F.expr(f"shiftrightunsigned({fp}, {BITS - hi})").bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long"))) for lo, hi in bounds])
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
+def _cuts(free: int, n: int) -> list[tuple[int, int]]:
+    """For n blocks of the set bits of ``free``: the block, and the bits left free, as signed masks."""
+    bits = [1 << i for i in reversed(range(BITS)) if free >> i & 1]
+    parts = [sum(bits[lo:hi]) for lo, hi in blocks(0, len(bits), n)]
+    return [(_signed(part), _signed(free & ~part)) for part in parts]
+
+
+def _dealt(rows: DataFrame, free: list[int], n: int) -> DataFrame:
+    """(fp, key, free): each row of a group once a block of the bits that its group leaves free.
+
+    A key is a hash of the group's key and the block with its bits; clashes
+    only enlarge a group. ``free`` lists the masks that occur.
+    """
+    masks = rows.sparkSession.createDataFrame([(_signed(m), _cuts(m, n)) for m in free], "free long, cuts array<struct<block:long,rest:long>>")
+    cut = rows.join(F.broadcast(masks), "free").select("fp", "key", F.explode("cuts").alias("c"))
+    return cut.select("fp", F.xxhash64("key", "c.block", F.col("fp").bitwiseAND(F.col("c.block"))).alias("key"), F.col("c.rest").alias("free"))
+
+
+def groups_of(fps: DataFrame, budget: int = 2, most: int = 1 << 20) -> DataFrame:
+    """(key, fp): groups of at most ``most`` fingerprints, two of which share one if they differ in at most ``budget`` bits.
+
+    All fingerprints of a group agree on its cut bits, so their differences are
+    in the bits left free; budget + 1 blocks of these keep the pigeonhole
+    bound. Only groups with no more than ``budget`` free bits can't be cut further.
+    """
+    whole = (1 << BITS) - 1
+    level = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(block).alias("block"), F.lit(rest).alias("free")) for block, rest in _cuts(whole, budget + 1)])).alias("c"))
+    level = level.select("fp", F.xxhash64("c.block", F.col("fp").bitwiseAND(F.col("c.block"))).alias("key"), "c.free")
+    done = []
+    while True:
+        can = F.bit_count("free") > budget
+        heavy = durable(level.where(can).groupBy("key").count().where(F.col("count") > most).select("key"))  # at most rows / most rows
+        if heavy.isEmpty():
+            break
+        done += [level.where(~can).select("key", "fp"), level.where(can).join(heavy, "key", "left_anti").select("key", "fp")]
+        again = durable(level.where(can).join(heavy, "key", "left_semi"))
+        level = _dealt(again, [r["free"] % (1 << BITS) for r in again.select("free").distinct().collect()], budget + 1)
+    out = level.select("key", "fp")
+    for part in done:
+        out = out.unionByName(part)
+    return out
 
 
 def near_edges(fps: DataFrame, budget: int = 2, most: int = 1 << 20) -> DataFrame:
     """Edges (a, b) that connect exactly those distinct fingerprints (column fp) linked within ``budget`` bits."""
-    first = blocks(0, BITS, budget + 1)
-    keyed = fps.select("fp", F.explode(_block_key("fp", first, F.lit(0))).alias("key"))
-    heavy = keyed.groupBy("key").count().where(F.col("count") > most).select("key")
-    heavy = durable(heavy)  # at most (budget + 1) * fingerprints / most rows
-    if not heavy.isEmpty():
-        # a second cut: within a group, the bits outside its block hold all differences; cutting all
-        # bits into other blocks keeps the pigeonhole bound and parts what the first block held together
-        finer = [(lo, hi) for part in first for lo, hi in blocks(*part, budget + 1)]
-        again = keyed.join(heavy, "key", "left_semi")
-        keyed = keyed.join(heavy, "key", "left_anti").unionByName(again.select("fp", F.explode(_block_key("fp", finer, F.col("key"))).alias("key")))
-    return keyed.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(_forest(budget), "a long, b long")
+    return groups_of(fps, budget, most).repartition("key").sortWithinPartitions("key").mapInArrow(_forest(budget), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 2, seed: int = 42, most: int = 1 << 20) -> DataFrame:
