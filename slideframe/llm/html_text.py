@@ -245,6 +245,15 @@ def _rows(node: Node):
                 yield kid
 
 
+def _stray_text(node: Node):
+    """The strings of a table outside its rows, those of row groups set apart."""
+    for kid in node.kids:
+        if isinstance(kid, str):
+            yield kid
+        elif kid.name in ("thead", "tbody", "tfoot", "colgroup") and not kid.hidden:
+            yield from (" ", *_stray_text(kid), " ")
+
+
 def _table(node: Node, level: int) -> list[str]:
     """Cells in columns padded to equal width; a cell of several lines is joined by spaces."""
     before, rows, loose = [], [], Node("tr")
@@ -256,7 +265,7 @@ def _table(node: Node, level: int) -> list[str]:
         elif kid.name not in ("col", "colgroup"):
             loose.kids.append(kid)
     strays = Node("div")
-    strays.kids = [k for k in node.kids if isinstance(k, str)]
+    strays.kids = list(_stray_text(node))
     before += _inside(strays, level)
     if loose.kids:
         rows.append(loose)
