@@ -118,8 +118,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def _more(text: str) -> Iterator[tuple[int, int, int, bool]]:
     """Proposals of the further kinds: (start, kind, end, checksum passed)."""
-    for m in _IBAN.finditer(text):
+    done = 0
+    while m := _IBAN.search(text, done):
         length, at = IBAN_LENGTHS.get(m.group()[:2]), m.start()
+        done = at + 4  # no other can begin in the country and check digits of one that fails
         plain = m.group().replace(" ", "")
         if length and len(plain) >= length and mod97(plain[:length]):
             end, left = at, length
@@ -128,6 +130,7 @@ def _more(text: str) -> Iterator[tuple[int, int, int, bool]]:
                 end += 1
             if not (text[end : end + 1].isalnum()):
                 yield at, 4, end, True
+                done = end
     for kind, pattern in ((5, _SSN), (6, _TEL)):
         for m in pattern.finditer(text):
             yield m.start(), kind, m.end(), False
