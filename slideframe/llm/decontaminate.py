@@ -86,12 +86,39 @@ def phrase_hits(postings: DataFrame, anchors: DataFrame, window: int) -> DataFra
     return runs.where("a + b + 1 >= need").select("id", "r", "item", (F.col("pos") - F.col("a")).cast("long").alias("lo"), (F.col("pos") + F.col("b") + 1).cast("long").alias("hi")).distinct()
 
 
-def near_hits(postings: DataFrame, anchors: DataFrame, window: int) -> DataFrame:
-    """(id, r, item): proximity matches, windows all of whose words occur, in any order, in one posting's context."""
+def near_ranges(postings: DataFrame, anchors: DataFrame, window: int) -> DataFrame:
+    """(id, r, item, lo, hi): contexts of postings, as word ranges, that hold all words of a window in any order."""
     windows = anchors.withColumn("s", F.expr(f"explode(sequence(greatest(at - {window} + 1, 0), least(at, greatest(size(w) - {window}, 0))))"))
     windows = durable(windows.select("term", "item", F.expr(f"array_distinct(slice(w, s + 1, {window}))").alias("need")))
-    met = postings.join(_small(windows), "term")
-    return met.where(F.size(F.array_except("need", F.concat("before", "after", F.array("term")))) == 0).select("id", "r", "item").distinct()
+    met = postings.join(_small(windows), "term").where(F.size(F.array_except("need", F.concat("before", "after", F.array("term")))) == 0)
+    return met.select("id", "r", "item", (F.col("pos") - F.size("before")).cast("long").alias("lo"), (F.col("pos") + F.size("after") + 1).cast("long").alias("hi")).distinct()
+
+
+def near_hits(postings: DataFrame, anchors: DataFrame, window: int) -> DataFrame:
+    """(id, r, item): proximity matches, windows all of whose words occur, in any order, in one posting's context."""
+    return near_ranges(postings, anchors, window).select("id", "r", "item").distinct()
+
+
+def _indexed(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The parsed documents, the anchors, and the stored index."""
+    parsed = _documents(docs, id_col, text_col)
+    items = items_of(benchmark, item_col, item_text_col)
+    anchors = anchors_of(items, parsed, window)
+    return parsed, anchors, durable(postings_of(parsed, durable(anchors.select("term").distinct()), window - 1))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(id, r, item, lo, hi, exact): what of which item is where in which document, as word ranges with exclusive ends.
+
+    Exact ranges consist of occurring windows. The others are proximity
+    matches, contexts that hold all words of a window in any order and no exact
+    range of the item; contexts of neighbouring words overlap. Repeated rows count once.
+    """
+    _, anchors, index = _indexed(docs, benchmark, window, id_col, text_col, item_col, item_text_col)
+    exact = durable(phrase_hits(index, anchors, window))
+    inside = F.expr("n.id <=> e.id and n.r = e.r and n.item = e.item and n.lo <= e.lo and e.hi <= n.hi")
+    near = near_ranges(index, anchors, window).alias("n").join(exact.alias("e"), inside, "left_anti")
+    return exact.withColumn("exact", F.lit(True)).unionByName(near.withColumn("exact", F.lit(False)))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -103,12 +130,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     the ids met, sorted as strings, comma-joined. Null texts have no words; an
     item whose id is null is listed as the empty string; items that share an
     id count once. Repeated rows get equal results, null ids results of their
-    own. ``r`` is the hash of the text. Other columns are not read.
+    own. ``r`` is the hash of the text. Other columns are not read. Proximity
+    matches don't count here; ``matches`` lists them, and all positions.
     """
-    parsed = _documents(docs, id_col, text_col)
-    items = items_of(benchmark, item_col, item_text_col)
-    anchors = anchors_of(items, parsed, window)
-    index = durable(postings_of(parsed, durable(anchors.select("term").distinct()), window - 1))
+    parsed, anchors, index = _indexed(docs, benchmark, window, id_col, text_col, item_col, item_text_col)
     hits = durable(phrase_hits(index, anchors, window))
     # the union of ranges: what each range adds beyond the furthest end before it
     order = W.partitionBy("id", "r").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1)
