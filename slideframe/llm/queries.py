@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, substring_dedup, url_filter
@@ -41,17 +41,17 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-def _scored(scores: DataFrame, threshold: float) -> DataFrame:
+def _scored(scores: DataFrame, threshold: float, *more: Column) -> DataFrame:
     from .labelled import held_out
 
-    return scores.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scores.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
     docs = table(spark, sf_dir, "documents")
-    return _scored(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.5)
+    return _scored(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.5, F.size("passages").cast("long").alias("n_passages"), F.array_min("passages.p_value").alias("least_p"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,19 +8,23 @@ the Karlin-Altschul parameters of the clean documents a segment's score has an
 extreme-value significance; a document's significances are
 aggregated and mapped to a probability.
 
-Scale: counts come from a bounded labelled sample, and the model holds at most
-``max_units`` units, so it can be broadcast. Scoring is a map over all texts.
+Scale: counts come from a bounded labelled sample and are kept in ``CELLS``
+cells by the units' hashes, so every unit counts and the model's size is fixed.
+What is brought to the driver is that table and a few numbers a labelled
+row. Scoring is a map over all texts.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,54 +37,84 @@ DRIFT, LEAST, MOST = 1.5, -3.0, 6.0
 PRIOR = 10.0
 EULER = 0.5772156649
 SIGNIFICANT = 0.05
-SEEN_WORDS = 400_000  # words whose score a worker remembers
+CELLS = 1 << 22  # of the table of counts, 8 bytes each; units that share a cell share its counts
+SEEN_WORDS = 100_000  # words whose score a worker remembers
+CHUNK = 1 << 18  # cells of documents that are summed together
 
 
-def units(word: str) -> list[str]:
+def units(word: str) -> Iterator[str]:
     """The prefixes of a word, shortest first, then the word itself, marked."""
-    return [word[:k] for k in PREFIXES if len(word) > k] + ["=" + word]
+    size = len(word)
+    for k in PREFIXES:
+        if size <= k:
+            break
+        yield word[:k]
+    yield "=" + word
 
 
 def segments(values: np.ndarray) -> list[tuple[int, int, float]]:
-    """Every maximal scoring segment (start, end, score), in linear time."""
+    """Every maximal scoring segment (start, end, score), in linear time.
+
+    Each candidate keeps the index of the nearest earlier one whose sum before
+    it is smaller, so a search jumps from one to the next: a link that is
+    jumped over lies behind the new candidate's own link and isn't met again.
+    """
     total = np.concatenate([[0.0], np.cumsum(values)])
-    found: list[tuple[int, int, float, float]] = []  # start, end, sums before and after
-    for i in np.flatnonzero(values > 0).tolist():
-        lo, hi, left, right = i, i + 1, float(total[i]), float(total[i + 1])
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, sums before and after, link
+    at = np.flatnonzero(values > 0)
+    for i, left, right in zip(at.tolist(), total[at].tolist(), total[at + 1].tolist(), strict=True):
+        lo, j = i, len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= left:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= right:
                 break
-            lo, left = found[j][0], found[j][2]
+            lo, _, left, _, link = found[j]
             del found[j:]
-        found.append((lo, hi, left, right))
-    return [(a, b, right - left) for a, b, left, right in found]
+            j = link
+        found.append((lo, i + 1, left, right, j))
+    return [(a, b, right - left) for a, b, left, right, _ in found]
+
+
+def cell(unit: str) -> int:
+    return xxhash.xxh3_64_intdigest(unit) & (CELLS - 1)
 
 
 @dataclass
 class Model:
-    """Log-odds by unit, and the parameters that turn segment scores into a probability."""
+    """Counts by cell, and the parameters that turn segment scores into a probability."""
 
     base: float
-    counts: dict[str, tuple[int, int]]  # unit: documents, toxic documents
+    n: np.ndarray  # documents by cell
+    y: np.ndarray  # of them, those of label 1
     lam: float = 1.0
     log_k: float = 0.0
     weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0, 0.0)
 
-    def word_score(self, word: str) -> float:
-        rate = self.base
-        for u in units(word):
-            n, y = self.counts.get(u, (0, 0))
-            rate = (y + PRIOR * rate) / (n + PRIOR)
-        odds = math.log(rate / (1 - rate)) - math.log(self.base / (1 - self.base))
-        return min(MOST, max(LEAST, odds - DRIFT))
+    def word_score(self) -> Callable[[str], float]:
+        """A function from a word to its score: the rate of label 1 along its units, as log-odds against the base, less a drift.
 
-    def reader(self):
-        """A function from text to word scores that remembers words, within a bound."""
-        score = lru_cache(SEEN_WORDS)(self.word_score)
-        return lambda text: np.fromiter(map(score, _WORD.findall(text.lower())), float)
+        Documents with a unit also have the units before it, so behind the first one without documents nothing is left to read.
+        """
+        seen_in, toxic_in = memoryview(self.n), memoryview(self.y)
+        start, odds = self.base, math.log(self.base / (1 - self.base)) + DRIFT
+
+        def score(word: str) -> float:
+            rate = start
+            for u in units(word.lower()):
+                at = cell(u)
+                n = seen_in[at]
+                if not n:
+                    break
+                rate = (toxic_in[at] + PRIOR * rate) / (n + PRIOR)
+            return min(MOST, max(LEAST, math.log(rate / (1 - rate)) - odds))
+
+        return score
+
+    def reader(self) -> Callable[[str], np.ndarray]:
+        """A function from a text to its words' scores; it remembers words, within a bound."""
+        score = lru_cache(SEEN_WORDS)(self.word_score())
+        return lambda text: np.fromiter(map(score, _WORD.findall(text)), float)
 
     def significance(self, score: float, n: int) -> float:
         """Normalised score of a segment among n words: minus the log of the expected number by chance."""
@@ -99,69 +133,99 @@ class Model:
 
 
 def _count(batches):
+    """(cell, n, y) sums; a document counts once in a cell."""
     for b in batches:
-        n: dict[str, int] = {}
-        y: dict[str, int] = {}
-        for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            seen = set()
-            for w in set(_WORD.findall(text.lower())):
-                seen.update(units(w))
-            for u in seen:
-                n[u] = n.get(u, 0) + 1
-                if label:
-                    y[u] = y.get(u, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([y.get(u, 0) for u in n], pa.int64())], ["unit", "n", "y"])
-
-
-def _null_parameters(values: list[np.ndarray]) -> tuple[float, float]:
-    """Karlin-Altschul lambda and log K of texts without toxic passages."""
-    flat = np.concatenate(values) if values else np.zeros(0)
-    if not len(flat) or flat.max() <= 0 or flat.mean() >= 0:
-        return 1.0, 0.0
+        held, labels, size = [], [], 0
+        for i, (text, label) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), 1):
+            seen = {cell(u) for w in {w.lower() for w in _WORD.findall(text)} for u in units(w)}
+            held.append(np.fromiter(seen, np.int32, len(seen)))
+            labels.append(np.full(len(seen), label))
+            size += len(seen)
+            if size >= CHUNK or i == b.num_rows:
+                at, back = np.unique(np.concatenate(held), return_inverse=True)
+                n, y = np.bincount(back, minlength=len(at)), np.bincount(back, np.concatenate(labels), len(at))
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.astype(np.int64)), pa.array(y.astype(np.int64))], ["cell", "n", "y"])
+                held, labels, size = [], [], 0
+
+
+GRID = 1000  # scores are counted in steps of a thousandth
+
+
+def null_lambda(histogram: np.ndarray) -> float:
+    """Karlin-Altschul lambda of word scores given by their counts: the root of E exp(lambda s) = 1 beside zero."""
+    value = np.arange(len(histogram)) / GRID + LEAST
+    share = histogram / max(1, histogram.sum())
+    if not histogram[value > 0].any() or share @ value >= 0:
+        return 1.0
     lo, hi = 1e-6, 20.0
-    for _ in range(80):  # the root of E exp(lambda s) = 1 beside zero
+    for _ in range(80):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if np.exp(mid * flat).mean() < 1 else (lo, mid)
-    lam = min(max(hi, 0.05), 5.0)
-    best = [lam * max((s for _, _, s in segments(v)), default=0.0) - math.log(len(v)) for v in values if len(v)]
-    return lam, float(np.mean(best)) - EULER
+        lo, hi = (mid, hi) if share @ np.exp(mid * value) < 1 else (lo, mid)
+    return min(max(hi, 0.05), 5.0)
+
+
+def _best_scores(shared):
+    """(y, n, best, histogram) per row: words, best segment; a batch's first row counts the scores of its rows of label 0."""
+
+    def run(batches):
+        read = shared.value.reader()
+        for b in batches:
+            y = b.column(1).to_pylist()
+            n, best, histogram = [], [], np.zeros(int((MOST - LEAST) * GRID) + 1, np.int64)
+            for v, label in zip(map(read, b.column(0).to_pylist()), y, strict=True):
+                n.append(len(v))
+                best.append(max((s for _, _, s in segments(v)), default=0.0))
+                if not label:
+                    histogram += np.bincount(np.rint((v - LEAST) * GRID).astype(np.int64), minlength=len(histogram))
+            first = [histogram.tobytes()] + [None] * (b.num_rows - 1) if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(first, pa.binary())], ["y", "n", "best", "histogram"])
+
+    return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = 20_000, max_units: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def _sample_features(shared):
+    def run(batches):
+        model = shared.value
+        read = model.reader()
+        for b in batches:
+            x = [model.features(segments(v), len(v)) for v in map(read, b.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most ``rows`` labelled rows; three quarters give counts, the rest calibrates.
 
-    Without labelled rows of both kinds every text scores the share of label 1.
+    Null labels and rows that are held out or have no label aren't used; a null
+    text counts as empty. Without labelled rows of both kinds every text
+    scores the share of label 1.
     """
     ensure_shared_dir(docs.sparkSession)
+    send = docs.sparkSession.sparkContext.broadcast
     sample = labelled_sample(docs, labels, target, rows, id_col, text_col)
     part = F.pmod(F.xxhash64(F.lit("calibrate"), "id"), F.lit(4)) == 0
     size = sample.where(~part).agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("y")).first()
     base = (size["y"] + 0.5) / (size["n"] + 1)
-    counts = sample.where(~part).select("text", "y").mapInArrow(_count, "unit string, n long, y long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).where("n > 1")
-    surprise = F.abs(F.col("y") - F.col("n") * base) / F.sqrt("n")
-    kept = durable(counts.orderBy(surprise.desc(), "unit").limit(max_units))
-    table = kept.toArrow().to_pydict()  # at most max_units rows
-    model = Model(base, dict(zip(table["unit"], zip(table["n"], table["y"], strict=True), strict=True)))
-    rest = sample.where(part).select("text", "y").mapInArrow(_score_sample(docs.sparkSession.sparkContext.broadcast(model)), "v binary, y int").toArrow().to_pydict()
-    values = [np.frombuffer(v, np.float32).astype(float) for v in rest["v"]]
-    y = np.array(rest["y"], float)
+    counts = sample.where(~part).select("text", "y").mapInArrow(_count, "cell int, n long, y long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    table = counts.toArrow()  # at most CELLS rows
+    model = Model(base, np.zeros(CELLS, np.int32), np.zeros(CELLS, np.int32))
+    at = table["cell"].to_numpy()
+    model.n[at], model.y[at] = table["n"].to_numpy(), table["y"].to_numpy()
+    rest = sample.where(part).select("text", "y")
+    best = rest.mapInArrow(_best_scores(send(model)), "y int, n long, best double, histogram binary").toArrow().to_pydict()
+    y = np.array(best["y"], float)
     if not len(y) or y.min() == y.max():
         model.weights = (0.0, 0.0, 0.0, 0.0, math.log(base / (1 - base)))
         return model
-    model.lam, model.log_k = _null_parameters([v for v, label in zip(values, y, strict=True) if not label])
-    model.weights = tuple(float(w) for w in logistic(np.array([model.features(segments(v), len(v)) for v in values]), y))
+    model.lam = null_lambda(sum(np.frombuffer(h, np.int64) for h in best["histogram"] if h is not None))
+    clean = [model.lam * s - math.log(n) for s, n, label in zip(best["best"], best["n"], best["y"], strict=True) if n and not label]
+    model.log_k = float(np.mean(clean)) - EULER if clean else 0.0
+    found = rest.mapInArrow(_sample_features(send(model)), "y int, x array<double>").toArrow().to_pydict()
+    model.weights = tuple(float(w) for w in logistic(np.array(found["x"]), np.array(found["y"], float)))
     return model
 
 
-def _score_sample(shared):
-    def run(batches):
-        read = shared.value.reader()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([read(t).astype(np.float32).tobytes() for t in b.column(0).to_pylist()], pa.binary()), b.column(1)], ["v", "y"])
-
-    return run
-
-
 _PASSAGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("p_value", pa.float64())]))
 
 
@@ -171,9 +235,8 @@ def _score(shared):
         read = model.reader()
         for b in batches:
             score, passages = [], []
-            for text in b.column(1).to_pylist():
-                low = (text or "").lower()
-                values = read(text or "")
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for text, values in zip(texts, map(read, texts), strict=True):
                 found = segments(values)
                 score.append(model.features(found, len(values)))
                 mine = []
@@ -182,7 +245,7 @@ def _score(shared):
                     if p <= SIGNIFICANT:
                         mine.append((lo, hi, s, p))
                 if mine:
-                    at = [m.span() for m in _WORD.finditer(low)]
+                    at = [m.span() for m in _WORD.finditer(text)]
                     mine = [{"start": at[lo][0], "end": at[hi - 1][1], "score": s, "p_value": p} for lo, hi, s, p in mine]
                 passages.append(mine)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.probability(np.array(score).reshape(len(score), 4))), pa.array(passages, _PASSAGES)], ["id", "score", "passages"])
@@ -193,8 +256,8 @@ def _score(shared):
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, passages) per row: the probability of label 1, and every significant segment.
 
-    Passages are offsets into the lower-cased text. A null text counts as
-    empty; empty texts score the model's value for no words. Repeated rows and
+    Passages are ranges of code points of the text, ends exclusive, in order.
+    A null text counts as empty, a text of any length is scanned whole, in linear time; empty texts score the model's value for no words. Repeated rows and
     null ids give a row each. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
