@@ -1,142 +1,288 @@
 """Approximate nearest neighbours with a permutation index.
 
-Each vector is represented by its nearest pivots in order. A block of vectors
-posts itself in one inverted file per pivot; for a query the files of its own
-pivots are read and their entries add up to the footrule distance between the two
-orders. Vectors near enough by footrule are reranked by exact inner product.
-
-Scale: pivots are a bounded sample. The stated queries meet all rows in a
-grid of blocks, each of bounded size; a block returns each query's best, so rows out
-stay at ``top`` a query and block. There is no cap on candidates: the footrule bound
-alone decides, and queries that find too few are run again against all rows.
+Each vector is represented by its nearest pivots in order. It is posted in the
+inverted files of its first ``POSTED`` pivots; a query is sent to the files of its
+own first pivots only. There the entries' footrule distance to the
+query's order is added up pivot by pivot, and vectors near enough are reranked
+by exact inner product. How many files a query reads and how far footrule may
+go is fitted on a bounded sample of vectors, whose true neighbours are known.
+
+Scale: small files are packed into bins of at most ``SHARD_ROWS`` rows and large ones
+split, so a row travels at most ``POSTED`` times and a query once a bin that holds one of its
+files, whatever the number of rows; the number of pivots grows with the rows
+up to ``MOST_PIVOTS``. Equal vectors are searched once, and of those that share a
+vector only as many ids are carried as an answer can hold. There is no cap on
+candidates. Queries that find too few meet all rows.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, ensure_shared_dir, hashed_sample
+from .common import durable, ensure_shared_dir, hashed_sample, spread_join
 
-PIVOTS = 128  # the bounded sample that the index is fitted on
-PREFIX = 32  # nearest pivots that represent a vector
-REACH = 0.85  # footrule bound, as a share of the largest footrule distance
-SHARD_ROWS = 8192
-QUERY_ROWS = 8192
+PIVOTS, MOST_PIVOTS, ROWS_PER_PIVOT = 512, 32_000, 4096  # at least, at most, and one for so many rows between
+PREFIX = 128  # nearest pivots that represent a vector
+POSTED = 4  # nearest pivots in whose files it is posted
+SAMPLE_ROWS, SAMPLE_QUERIES = 8192, 256  # what the search is fitted on
+FILES_RECALL, REACH_RECALL = 0.97, 0.95  # share of the sample's true neighbours that files and footrule bound keep
+SHARD_ROWS = 16_384
+QUERY_ROWS = 16_384
+
+KEY = ("k", "h")
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v) of the rows that take part, one row an id (the least vector), v in doubles."""
+    """(id, v) of the rows that take part, v in doubles."""
     v = F.col(vector_col).cast("array<double>")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.where(F.col(id_col).isNotNull() & good).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(v).alias("v"))
+    return vectors.where(F.col(id_col).isNotNull() & good).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+
+
+def distinct_vectors(rows: DataFrame, top: int) -> DataFrame:
+    """(k, h, v, ids) per different vector: a key, and the ``top`` + 1 least ids of its rows, which is all that an answer can hold."""
+    least = W.partitionBy("v").orderBy("id")
+    kept = rows.withColumn("n", F.row_number().over(least)).where(F.col("n") <= top + 1)
+    ids = F.array_sort(F.collect_list("id")).alias("ids")
+    return kept.groupBy("v").agg(ids).select(F.col("ids")[0].alias("k"), F.xxhash64("v").alias("h"), "v", "ids")
+
+
+def products(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Inner products with pivots; of unequal lengths, the shorter counts as padded with zeros."""
+    d = min(x.shape[1], pivots.shape[1])
+    return x[:, :d] @ pivots[:, :d].T
 
 
-def choose_pivots(vectors: DataFrame, n: int = PIVOTS) -> np.ndarray:
-    """Up to ``n`` different vectors of the commonest length, by the hash of their ids."""
-    size = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if size is None:
-        return np.zeros((0, 0))
-    rows = hashed_sample(vectors.where(F.size("v") == size["d"]), ["id"], 4 * n, size["count"]).select("v").collect()
-    return np.array(list(dict.fromkeys(tuple(r["v"]) for r in rows))[:n])
+def permutations(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
+    return np.argsort(-products(x, pivots), axis=1, kind="stable")[:, :prefix].astype(np.int16)
+
+
+def places(order: np.ndarray, pivots: int) -> np.ndarray:
+    """The place (from 1) of every pivot in a query's order, one behind the last for those that it doesn't hold."""
+    out = np.full(pivots, len(order) + 1, np.int16)
+    out[order] = np.arange(1, len(order) + 1)
+    return out
+
+
+def gains(perm: np.ndarray, place: np.ndarray, block: int = 4096) -> np.ndarray:
+    """How far the footrule distance of rows to a query's order lies below the largest one, halved.
+
+    A pivot that both orders hold, at places a and b (from 1), brings it down by prefix + 1 - max(a, b).
+    """
+    n, prefix = perm.shape
+    own, out = np.arange(1, prefix + 1, dtype=np.int16), np.empty(n, np.int32)
+    for lo in range(0, n, block):
+        far = place[perm[lo : lo + block]]
+        out[lo : lo + block] = prefix * (prefix + 1) - np.maximum(far, own, out=far).sum(axis=1, dtype=np.int32)
+    return out
+
 
+@dataclass
+class Index:
+    """What is fitted: pivots, how many of a query's files are read, and the least gain of a candidate."""
+
+    pivots: np.ndarray
+    prefix: int
+    probes: int
+    least: int
+
+
+def fit(vectors: DataFrame, top: int, pivots: int = PIVOTS, prefix: int = PREFIX, files_recall: float = FILES_RECALL, reach_recall: float = REACH_RECALL) -> Index | None:
+    """Fit on a bounded sample of (k, v): at least ``pivots`` pivots, and the bounds that keep the given shares of its true neighbours.
+
+    Neighbours within the sample are no nearer than within all rows, so what
+    is met there is met or exceeded on the whole. None without vectors.
+    """
+    n = vectors.count()
+    pivots = min(MOST_PIVOTS, max(pivots, n // ROWS_PER_PIVOT))
+    rows = [r["v"] for r in hashed_sample(vectors, list(KEY), max(SAMPLE_ROWS, pivots), n).select("v").collect()]
+    if not rows:
+        return None
+    chosen = np.zeros((min(pivots, len(rows)), max(map(len, rows[:pivots]))))
+    for i, v in enumerate(rows[: len(chosen)]):
+        chosen[i, : len(v)] = v
+    prefix = min(prefix, len(chosen))
+    size = max({len(v) for v in rows}, key=lambda d: (sum(len(v) == d for v in rows), d))
+    x = np.array([v for v in rows[:SAMPLE_ROWS] if len(v) == size])
+    perm = permutations(x, chosen, prefix)
+    ranks, found = [], []
+    for q in range(max(0, len(x) - SAMPLE_QUERIES), len(x)):  # from the end: the first rows are pivots, whose orders aren't typical
+        score = x @ x[q]
+        score[q] = -np.inf
+        true = np.argsort(-score)[: min(top, len(x) - 1)]
+        place = places(perm[q], len(chosen))
+        ranks.append(place[perm[true, :POSTED]].min(axis=1))
+        found.append(gains(perm[true], place))
+    ranks, found = np.sort(np.concatenate(ranks)), np.sort(np.concatenate(found))
+    if files_recall >= 1 or not len(ranks):
+        probes = prefix + 1
+    else:
+        probes = int(ranks[math.ceil(files_recall * len(ranks)) - 1])
+    least = 0 if reach_recall >= 1 or not len(found) else int(found[int((1 - reach_recall) * len(found))])
+    return Index(chosen, prefix, probes, least)
+
+
+def build(vectors: DataFrame, index: Index) -> DataFrame:
+    """(k, h, v, ids, perm): every vector with its order of pivots."""
 
-def _permute(pivots: np.ndarray, prefix: int):
     def run(batches):
         for b in batches:
-            v = b.column("v").flatten().to_numpy().reshape(b.num_rows, pivots.shape[1])
-            near = np.argsort(-(v @ pivots.T), axis=1, kind="stable")[:, :prefix].astype(np.int16)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array([r.tobytes() for r in near], pa.binary())], ["id", "v", "perm"])
+            v = b.column("v")
+            size, flat = v.value_lengths().to_numpy(), v.flatten().to_numpy()
+            ends = np.cumsum(size)
+            perm = np.empty((b.num_rows, index.prefix), np.int16)
+            for d in np.unique(size):
+                own = np.flatnonzero(size == d)
+                perm[own] = permutations(flat[(ends[own] - d)[:, None] + np.arange(d)], index.pivots, index.prefix)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(np.arange(0, perm.size + 1, index.prefix, dtype=np.int32), perm.ravel())], [*b.schema.names, "perm"])
 
-    return run
+    return vectors.mapInArrow(run, "k long, h long, v array<double>, ids array<long>, perm array<smallint>")
 
 
-def build_index(vectors: DataFrame, pivots: np.ndarray, prefix: int = PREFIX) -> DataFrame:
-    """(id, v, perm) for every row of the pivots' length."""
-    fit = vectors.where(F.size("v") == pivots.shape[1])
-    return fit.mapInArrow(_permute(pivots, prefix), "id long, v array<double>, perm binary")
+def bins_of_files(counts: dict[int, int], pivots: np.ndarray, shard_rows: int) -> tuple[list[int], list[int], int]:
+    """(first bin, number of bins) of each file, and all bins: files of near pivots are packed together, large ones split."""
+    first, n, at, load = [0] * len(pivots), [1] * len(pivots), 0, 0
+    near = np.lexsort(((pivots @ pivots[0]), np.argmax(pivots @ pivots[: min(64, len(pivots))].T, axis=1)))
+    for p in near.tolist():
+        rows = counts.get(p, 0)
+        if load and load + rows > shard_rows:
+            at, load = at + 1, 0
+        first[p], n[p] = at, max(1, -(-rows // shard_rows))
+        load += rows
+        if n[p] > 1:
+            at, load = at + n[p], 0
+    return first, n, at + (load > 0)
 
 
-def _block(top: int, pivots: int, prefix: int, reach: float):
-    """Search one block: rows with kind 0 are vectors, with kind 1 queries."""
-    # shared pivots at places a and b (from 1) bring footrule down by 2 (prefix + 1 - max(a, b))
-    least = prefix * (prefix + 1) * (1 - reach) / 2
+def _cell(index: Index, first: np.ndarray, n: np.ndarray, top: int, everything: bool):
+    """Search one cell: rows with kind 0 are posted vectors, with kind 1 queries."""
 
-    def run(t: pa.Table) -> pa.Table:
-        kind, ids = t["kind"].to_numpy(), t["id"].to_numpy()
-        v = t["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
-        perm = np.frombuffer(b"".join(t["perm"].to_pylist()), np.int16).reshape(len(ids), -1)
-        rows, queries = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-        own, x = ids[rows], v[rows]
-        order = np.argsort(perm[rows].ravel(), kind="stable")  # the inverted files, one after another
-        cut = np.searchsorted(perm[rows].ravel()[order], np.arange(pivots + 1))
-        member, place = order // prefix, order % prefix + 1
-        out = []
-        for q in queries.tolist():
-            gain = np.zeros(len(rows))
-            for a, p in enumerate(perm[q].tolist(), 1):
-                files = slice(cut[p], cut[p + 1])
-                gain[member[files]] += prefix + 1 - np.maximum(place[files], a)
-            near = np.flatnonzero((gain >= least) & (own != ids[q]))
+    def search(own_bin, x, perm, ids, q, q_perm, emit):
+        posted = perm[:, :POSTED]
+        if index.probes > index.prefix:  # all files are read: the one of a row's nearest pivot answers
+            posted = posted[:, :1]
+        elsewhere = ~((first[posted] <= own_bin) & (own_bin < first[posted] + n[posted]))
+        for i in range(len(q)):
+            if everything:
+                near = np.arange(len(x))
+            else:  # of the bins that hold a row, the one of its first file that the query reads answers
+                place = places(q_perm[i], len(index.pivots))
+                meet = np.min(2 * place[posted] + elsewhere, axis=1)
+                near = np.flatnonzero((meet % 2 == 0) & (meet // 2 <= index.probes))
+                near = near[gains(perm[near], place) >= index.least]
             if not len(near):
                 continue
-            rough = x[near] @ v[q]
-            if len(near) > top:  # rounding of the rough product is far below the slack
-                edge = np.partition(rough, len(near) - top)[len(near) - top]
+            rough = x[near] @ q[i]
+            if len(near) > top + 1:  # rounding of the rough product is far below the slack
+                edge = np.partition(rough, len(near) - top - 1)[len(near) - top - 1]
                 near = near[rough >= edge - 1e-9 * (np.abs(rough).max() + 1)]
             exact = np.zeros(len(near))
             for d in range(x.shape[1]):  # in order of components, so that equal vectors score equally everywhere
-                exact += v[q, d] * x[near, d]
-            best = np.lexsort((own[near], -exact))[:top]
-            out.append((np.full(len(best), ids[q]), own[near][best], exact[best]))
-        parts = [np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(3)]
-        return pa.table({"query": pa.array(parts[0].astype(np.int64)), "id": pa.array(parts[1].astype(np.int64)), "score": pa.array(parts[2])})
+                exact += q[i, d] * x[near, d]
+            entries = sorted((-s, c) for s, j in zip(exact.tolist(), near.tolist(), strict=True) for c in ids[j])[: top + 1]
+            emit(i, entries)
+
+    def run(t: pa.Table) -> pa.Table:
+        own_bin = t["bin"][0].as_py()
+        kind = t["kind"].to_numpy()
+        v = t["v"].combine_chunks()
+        size, flat = v.value_lengths().to_numpy(), v.flatten().to_numpy()
+        ends = np.cumsum(size)
+        perm = t["perm"].combine_chunks().flatten().to_numpy().reshape(len(kind), -1)
+        k, h = t["k"].to_numpy(), t["h"].to_numpy()
+        out = {"k": [], "h": [], "id": [], "score": []}
+        for d in np.unique(size[kind == 1]):  # vectors of each length are a space of their own
+            rows, asks = (np.flatnonzero((kind == c) & (size == d)) for c in (0, 1))
+            take = lambda at: flat[(ends[at] - d)[:, None] + np.arange(d)]  # noqa: B023, E731
+
+            def emit(i, entries, asks=asks):
+                out["k"] += [k[asks[i]]] * len(entries)
+                out["h"] += [h[asks[i]]] * len(entries)
+                out["score"] += [-s for s, _ in entries]
+                out["id"] += [c for _, c in entries]
+
+            if len(rows) and len(asks):
+                search(own_bin, take(rows), perm[rows], t["ids"].take(pa.array(rows)).to_pylist(), take(asks), perm[asks], emit)
+        return pa.table({"k": pa.array(out["k"], pa.int64()), "h": pa.array(out["h"], pa.int64()), "id": pa.array(out["id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
     return run
 
 
-def _grid(index: DataFrame, queries: DataFrame, shards: int, query_blocks: int, top: int, pivots: int, prefix: int, reach: float) -> DataFrame:
-    def deal(col: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(col), "id"), F.lit(n)).cast("int").alias(col)
+def _search(index: Index, rows: DataFrame, queries: DataFrame, top: int, shard_rows: int, query_rows: int, everything: bool) -> DataFrame:
+    """(k, h, id, score): each query vector's ``top`` + 1 best entries, its own among them."""
+    total = len(index.pivots)
+    if everything:
+        bins = max(1, -(-rows.count() // shard_rows))
+        first, n = np.zeros(total, np.int64), np.ones(total, np.int64)
+        posted = F.array(F.pmod(F.xxhash64(F.lit("bin"), *KEY), F.lit(bins)).cast("int"))
+        asked = F.sequence(F.lit(0), F.lit(bins - 1))
+    else:
+        files = rows.select(F.explode(F.slice("perm", 1, POSTED)).alias("p")).groupBy("p").count().collect()  # a row a pivot at most
+        first, n, bins = bins_of_files({r["p"]: r["count"] for r in files}, index.pivots, shard_rows)
+        first, n = np.array(first), np.array(n)
 
-    def every(col: str, n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(col)
+        def own(p: Column, shard: Column | None = None) -> Column:
+            lo, many = (F.element_at(F.lit(a.astype(np.int32)), p.cast("int") + 1) for a in (first, n))
+            return lo + F.pmod(shard, many).cast("int") if shard is not None else F.sequence(lo, lo + many - 1)
 
-    rows = index.select("*", deal("shard", shards)).select("*", every("part", query_blocks), F.lit(0).alias("kind"))
-    asks = queries.select("*", deal("part", query_blocks)).select("*", every("shard", shards), F.lit(1).alias("kind"))
-    cells = rows.unionByName(asks).groupBy("shard", "part").applyInArrow(lambda t: _block(top, pivots, prefix, reach)(t), "query long, id long, score double")
-    best = W.partitionBy("query").orderBy(F.desc("score"), "id")
-    return cells.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+        posted = F.array_distinct(F.transform(F.slice("perm", 1, POSTED), lambda p: own(p, F.xxhash64(F.lit("bin"), *KEY))))
+        asked = F.array_distinct(F.flatten(F.transform(F.slice("perm", 1, index.probes), lambda p: own(p)))) if index.probes <= index.prefix else F.sequence(F.lit(0), F.lit(max(0, bins - 1)))
+    asks = queries.select("*", F.explode(asked).alias("bin"), F.lit(1).alias("kind"))
+    # a bin with many queries is searched in parts: at most one row a bin is brought here
+    parts = {r["bin"]: -(-r["count"] // query_rows) for r in asks.groupBy("bin").count().where(F.col("count") > query_rows).collect()}
+    many = np.ones(max(bins, 1), np.int32)
+    for b, c in parts.items():
+        many[b] = c
+    count = F.element_at(F.lit(many), F.col("bin") + 1)
+    held = rows.select("*", F.explode(posted).alias("bin"), F.lit(0).alias("kind")).withColumn("part", F.explode(F.sequence(F.lit(0), count - 1)))
+    asks = asks.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), *KEY), count).cast("int"))
+    search = _cell(index, first, n, top, everything)
+    found = held.unionByName(asks).groupBy("bin", "part").applyInArrow(lambda t: search(t), "k long, h long, id long, score double")
+    best = W.partitionBy(*KEY).orderBy(F.desc("score"), "id")
+    return found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= top + 1).drop("n")
 
 
-def nearest(vectors: DataFrame, is_query: str, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, reach: float = REACH, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: str, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, files_recall: float = FILES_RECALL, reach_recall: float = REACH_RECALL, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query, rank, id, score): each query's ``top`` best inner products found, ties to the smaller id.
 
     ``is_query`` is an SQL condition on the column ``id``. Vectors that are null,
-    empty, zero, of another length than most, or hold null or
-    non-finite components take no part, nor do null ids. Of rows that share an
-    id the least vector counts. A query never finds its own id. With fewer
-    other rows than ``top``, all are returned. Other columns are not read.
+    empty, zero, or hold null or non-finite components take no part, nor do null
+    ids. Vectors of another length are no candidates of a query. Rows that share an id all
+    take part: a query isn't found itself, another row of its id is. Of equal rows
+    each is a candidate, and one is a query. With fewer other rows than ``top``, all are
+    returned. ``files_recall`` and ``reach_recall`` of 1 make the search exact. Other columns are not read.
     """
     ensure_shared_dir(vectors.sparkSession)
-    rows = durable(usable(vectors, id_col, vector_col))
-    sample = choose_pivots(rows, pivots)
-    none = "query long, rank int, id long, score double"
-    if not len(sample):
-        return vectors.sparkSession.createDataFrame([], none)
-    prefix = min(prefix, len(sample))
-    index = durable(build_index(rows, sample, prefix))
-    asked = index.where(is_query)
-    n, m = index.count(), asked.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // query_rows))
-    found = durable(_grid(index, asked, shards, blocks, top, len(sample), prefix, reach))
-    full = found.groupBy("query").count().where(F.col("count") >= min(top, n - 1)).select(F.col("query").alias("id"))
-    short = durable(asked.join(full, "id", "left_anti"))
+    rows = usable(vectors, id_col, vector_col)
+    unique = durable(distinct_vectors(rows, top))
+    index = fit(unique, top, pivots, prefix, files_recall, reach_recall)
+    if index is None:
+        return vectors.sparkSession.createDataFrame([], "query long, rank int, id long, score double")
+    built = durable(build(unique, index))
+    # a vector that only rows share whose ids aren't carried may be a query too, so queries are read from all rows
+    asked = rows.where(is_query).select("id", "v").distinct()
+    keyed = durable(spread_join(asked.withColumn("h", F.xxhash64("v")), unique.select("v", "k", "h"), ["v", "h"], ["id"]).select("id", "k", "h"))
+    queries = durable(built.join(keyed.select(*KEY).distinct(), list(KEY), "left_semi"))
+    found = durable(_search(index, built, queries, top, shard_rows, query_rows, False))
+    sizes = durable(built.groupBy(F.size("v").alias("d")).agg(F.sum(F.size("ids")).alias("n")))
+    want = queries.select(*KEY, F.size("v").alias("d")).join(sizes, "d").select(*KEY, F.least(F.col("n"), F.lit(top + 1)).alias("want"))
+    full = found.groupBy(*KEY).count().join(want, list(KEY)).where(F.col("count") >= F.col("want")).select(*KEY)
+    short = durable(queries.join(full, list(KEY), "left_anti"))
     if not short.isEmpty():  # too few within the footrule bound: these queries meet all rows
-        blocks = max(1, -(-short.count() // query_rows))
-        again = _grid(index, short, shards, blocks, top, len(sample), prefix, 1.0)
-        found = found.join(short.select(F.col("id").alias("query")), "query", "left_anti").unionByName(again)
-    return found.select("query", F.col("rank").cast("int").alias("rank"), "id", "score")
+        again = _search(index, built, short, top, shard_rows, query_rows, True)
+        found = found.join(short.select(*KEY), list(KEY), "left_anti").unionByName(again)
+    entry = F.struct((-F.col("score")).alias("s"), "id", "score")
+    answers = durable(found.groupBy(*KEY).agg(F.array_sort(F.collect_list(entry)).alias("a")))  # top + 1 entries a vector
+    own = durable(queries.select(*KEY, F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x).alias("own")))
+    out = spread_join(keyed, answers.join(own, list(KEY)), list(KEY), ["id"])
+    at = F.array_position(F.transform("a", lambda e: (e["id"] == F.col("id")) & (e["score"] == F.col("own"))), True)
+    others = F.when(at == 0, F.slice("a", 1, top)).otherwise(F.concat(F.slice("a", F.lit(1), at - 1), F.slice("a", at + 1, F.lit(top))))
+    out = out.select(F.col("id").alias("query"), F.posexplode(F.slice(others, 1, top)).alias("at", "e"))
+    return out.select("query", (F.col("at") + 1).cast("int").alias("rank"), "e.id", "e.score")
