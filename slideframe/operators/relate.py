@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import model as M
+from ..durable import durable
 from ..functions.geometry import boxes_overlap
 
 #: A dimension is broadcast only while it has at most so many rows.
@@ -109,27 +112,67 @@ def image_dominant(pictures: DataFrame, labels: DataFrame, page: str, slide_area
 
 
 def over_limits(parts: DataFrame, deck, order, size: str, part_limit: int = M.PART_BYTES, total_limit: int = M.PACKAGE_BYTES) -> DataFrame:
-    """Add the running size of a deck's parts and whether it breaks a limit."""
-    w = W.partitionBy(*deck).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = parts.withColumn("running", F.sum(size).over(w))
+    """Add the running size of a deck's parts and whether it breaks a limit.
+
+    Prefix sums of ranges: the rows are dealt out by ranges of (deck, order),
+    each range adds up its own rows, and its offset is the sum of the deck's ranges before
+    it. A deck of any size is spread over many tasks.
+    """
+    dealt = durable(parts.repartitionByRange(*deck, *order).withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy(*deck, "_range").agg(F.sum(size).alias("_sum"))
+    before = W.partitionBy(*deck).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row a range
+    offsets = sums.select(*deck, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    same = F.col("a._range") == F.col("b._range")
+    for c in deck:
+        same &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    out = dealt.alias("a").join(offsets.alias("b"), same).select("a.*", "b._offset")
+    w = W.partitionBy(*deck, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = out.withColumn("running", F.col("_offset") + F.sum(size).over(w)).drop("_range", "_offset")
     return out.withColumn("over", (F.col(size) > part_limit) | (F.col("running") > total_limit))
 
 
+def _named_in_turn(t: pa.Table) -> pa.Table:
+    """Names of a family of clashing media, given one by one; every number is tried once a base name."""
+    rows = sorted(zip(t["_n"].to_pylist(), range(t.num_rows), t["_stem"].to_pylist(), t["_ext"].to_pylist(), strict=True))
+    taken, following, names = set(), {}, [""] * t.num_rows
+    for _, i, stem, ext in rows:
+        name, k = stem + ext, following.get((stem, ext), 1)
+        while name in taken:
+            name, k = f"{stem}_{k}{ext}", k + 1
+        following[stem, ext] = k
+        taken.add(name)
+        names[i] = name
+    return t.drop_columns(["_n", "_stem", "_ext"]).append_column("filename", pa.array(names, pa.string()))
+
+
 def media_names(media: DataFrame, page, path: str, order: str, base: Column) -> DataFrame:
     """(page, path, filename): a page's media in first use, clashing names numbered.
 
-    A number that is itself taken is passed over, so names are given one by one
-    in a fold over the page's media.
+    The n-th medium of a base name gets the number n - 1, without any fold over
+    the page. Only where a base name looks like a number that another one of
+    the page would get (``a_1.png`` beside two of ``a.png``) numbers that are taken are
+    passed over; such families of names are numbered in turn, in linear time.
     """
     first = media.groupBy(*page, path).agg(F.min(order).alias("_o")).withColumn("_base", base)
-    pages = first.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("_o", F.col(path).alias("path"), "_base"))).alias("_m"))
-    dot = "length(m._base) - position('.' IN reverse(m._base))"  # characters before the last dot
-    stem = f"CASE WHEN contains(m._base, '.') THEN substring(m._base, 1, {dot}) ELSE m._base END"
-    ext = f"CASE WHEN contains(m._base, '.') THEN substring(m._base, {dot} + 1) ELSE '' END"
-    name = f"""CASE WHEN NOT array_contains(a, m._base) THEN m._base
-        ELSE element_at(filter(transform(sequence(1, size(a) + 1), k -> concat({stem}, '_', k, {ext})), x -> NOT array_contains(a, x)), 1) END"""
-    names = F.expr(f"aggregate(_m, cast(array() as array<string>), (a, m) -> concat(a, array({name})))")
-    return pages.select(*page, F.explode(F.arrays_zip("_m", names.alias("filename"))).alias("_e")).select(*page, F.col("_e._m.path").alias(path), F.col("_e.filename").alias("filename"))
+    dotted = F.col("_base").contains(".")
+    stem = F.when(dotted, F.regexp_extract("_base", r"(?s)^(.*)\.", 1)).otherwise(F.col("_base"))
+    first = first.withColumn("_stem", stem).withColumn("_ext", F.expr("substring(_base, char_length(_stem) + 1)"))
+    first = durable(first.withColumn("_root", F.concat(F.regexp_replace("_stem", "(_[1-9][0-9]*)+$", ""), "_ext")))
+    keys = [*page, "_root"]
+    bases = first.groupBy(*keys, "_base", "_stem", "_ext").agg(F.count("*").alias("_m"))
+    numbered = bases.withColumn("_k", F.expr("try_cast(regexp_extract(_stem, '_([1-9][0-9]*)$', 1) AS bigint)")).where("_k IS NOT NULL")
+    numbered = numbered.select(*keys, F.concat(F.regexp_replace("_stem", "_[1-9][0-9]*$", ""), "_ext").alias("_base"), "_k")
+    clashing = durable(numbered.join(bases, [*keys, "_base"]).where("_k < _m").select(*keys).distinct())
+    nth = F.row_number().over(W.partitionBy(*page, "_base").orderBy("_o", path))
+    plain = first if clashing.isEmpty() else first.join(clashing, keys, "left_anti")
+    name = F.when(F.col("_nth") == 1, F.col("_base")).otherwise(F.concat("_stem", F.lit("_"), F.col("_nth") - 1, "_ext"))
+    out = plain.withColumn("_nth", nth).select(*page, path, name.alias("filename"))
+    if clashing.isEmpty():
+        return out
+    turn = first.join(clashing, keys, "left_semi").withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("_o", path)))
+    turn = turn.select(*keys, path, "_n", "_stem", "_ext")
+    schema = T.StructType([f for f in turn.schema.fields if f.name in (*keys, path)] + [T.StructField("filename", T.StringType())])
+    return out.unionByName(turn.groupBy(*keys).applyInArrow(lambda t: _named_in_turn(t), schema).select(*page, path, "filename"))
 
 
 def any_of(conditions: list[Column]) -> Column:

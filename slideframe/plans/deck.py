@@ -337,8 +337,9 @@ def complex_slides(slides: DataFrame, options: ImportOptions) -> DataFrame:
     seen = L.visible_ordinal(slides.where("error IS NULL"), ("deck_id",), ("slide_no",), F.col("hidden"), "page_no").where("page_no IS NOT NULL")
     key = F.concat_ws("|", "deck_id", "slide_no")
     shapes = seen.select(*SLIDE, key.alias("slide"), (F.col("slide_w") * F.col("slide_h")).alias("area"), F.explode("shapes").alias("s")).where("s.own IS NOT NULL")
-    boxes = shapes.select("slide", "area", "s.tag", F.col("s.ord").alias("doc_ord"), "s.own.x", "s.own.y", "s.own.cx", "s.own.cy", X.joined_lines("s.title").alias("text"))
-    led = R.image_dominant(boxes.where("tag = 'pic'"), boxes.where("tag = 'sp'"), "slide", F.col("area")).select(F.col("slide").alias("_led"))
+    filled = (F.col("s.tag") == "pic") | ((F.col("s.tag") == "sp") & F.col("s.blip").isNotNull())  # a shape filled by a picture is one
+    boxes = shapes.select("slide", "area", "s.tag", filled.alias("picture"), F.col("s.ord").alias("doc_ord"), "s.own.x", "s.own.y", "s.own.cx", "s.own.cy", X.joined_lines("s.title").alias("text"))
+    led = R.image_dominant(boxes.where("picture"), boxes.where("tag = 'sp' AND NOT picture"), "slide", F.col("area")).select(F.col("slide").alias("_led"))
     marked = seen.select(*SLIDE, "page_no", "smartart", key.alias("slide")).join(led, F.col("slide") == F.col("_led"), "left")
     return marked.where(F.col("_led").isNotNull() | (F.lit(options.smartart_images) & F.col("smartart"))).select(*SLIDE, "page_no")
 

@@ -13,6 +13,7 @@ from .functions import geometry as G
 from .functions import text as X
 from .operators import layout as L
 from .operators import relate as R
+from .streaming import imports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -101,35 +102,6 @@ def image_dominant(spark, sf):
     return R.image_dominant(g.where("type = 'image'"), labels, "slide_id", F.lit(6000000000000))
 
 
-@query(
-    "diagram_qualification",
-    f"WITH {BLOCKS_SQL} SELECT slide_id, max(CASE WHEN type = 'image' THEN cx * cy ELSE 0 END) AS photo_area, count(*) FILTER (type = 'text') AS captioned FROM g GROUP BY slide_id HAVING max(CASE WHEN type = 'image' THEN cx * cy ELSE 0 END) < 0.06 * 6000000000000 AND count(*) FILTER (type = 'text') >= 2",
-)
-def diagram_qualification(spark, sf):
-    out = blocks(spark, sf).groupBy("slide_id").agg(F.max(F.when(F.col("type") == "image", F.col("cx") * F.col("cy")).otherwise(0)).alias("photo_area"), F.count_if(F.col("type") == "text").alias("captioned"))
-    return out.where((F.col("photo_area") < M.PHOTO_SHARE * 6000000000000) & (F.col("captioned") >= 2))
-
-
-@query(
-    "panel_candidates",
-    f"WITH {BLOCKS_SQL} SELECT slide_id, arg_min(x + cx, doc_ord) AS panel_right, min(doc_ord) AS doc_ord FROM g WHERE x <= 200000 AND cy >= 1000000 AND cx <= 6096000 GROUP BY slide_id",
-)
-def panel_candidates(spark, sf):
-    g = blocks(spark, sf).where((F.col("x") <= M.PANEL_X) & (F.col("cy") >= M.PANEL_HEIGHT / 5) & (F.col("cx") <= M.SLIDE_W / 2))
-    return g.groupBy("slide_id").agg(F.min_by(F.col("x") + F.col("cx"), "doc_ord").alias("panel_right"), F.min("doc_ord").alias("doc_ord"))
-
-
-@query(
-    "panel_split",
-    f"""WITH {BLOCKS_SQL}, s AS (SELECT slide_id, arg_min(x + cx, doc_ord) AS panel_right FROM g WHERE x <= 2000000 GROUP BY slide_id)
-SELECT slide_id, doc_ord, type = 'text' AND coalesce(x < panel_right, false) AS is_label FROM g LEFT JOIN s USING (slide_id)""",
-)
-def panel_split(spark, sf):
-    g = blocks(spark, sf)
-    panels = g.where("x <= 2000000").groupBy("slide_id").agg(F.min_by(F.col("x") + F.col("cx"), "doc_ord").alias("panel_right"))
-    return g.join(panels, "slide_id", "left").select("slide_id", "doc_ord", ((F.col("type") == "text") & F.coalesce(F.col("x") < F.col("panel_right"), F.lit(False))).alias("is_label"))
-
-
 @query(
     "group_transform",
     f"""WITH {BLOCKS_SQL}, t AS (SELECT slide_id, doc_ord, x, y, cx, cy, 1000.0::DOUBLE - 500 * (3.0::DOUBLE / 2) AS ox1, 2000.0::DOUBLE - 250 * (1.0::DOUBLE / 4) AS oy1, 3.0::DOUBLE / 2 AS sx1, 1.0::DOUBLE / 4 AS sy1 FROM g)
@@ -184,23 +156,6 @@ def compact_numbers(spark, sf):
     return table(spark, sf, "part").select("p_partkey", X.number("p_retailprice").alias("num"), X.points(F.col("p_size") * 25).alias("points"))
 
 
-@query("furniture", "SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<(nav|footer)[^>]*>.*?</(nav|footer)>', '', 'g'), '(?s)<div class=\"ad\">.*?</div>', '', 'g') AS body FROM pages")
-def furniture(spark, sf):
-    body = F.regexp_replace(F.regexp_replace("html", "(?s)<(nav|footer)[^>]*>.*?</(nav|footer)>", ""), '(?s)<div class="ad">.*?</div>', "")
-    return table(spark, sf, "pages").select("page_id", body.alias("body"))
-
-
-@query("page_titles", "SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages")
-def page_titles(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.trim(X.collapse(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1))).alias("title"))
-
-
-@query("html_blocks", "SELECT page_id, len(regexp_extract_all(html, '<li>')) AS n_items, len(regexp_extract_all(html, '<p>')) AS n_paras, len(regexp_extract_all(html, '<h1>')) AS n_heads FROM pages")
-def html_blocks(spark, sf):
-    n = lambda tag: F.regexp_count("html", F.lit(f"<{tag}>")).cast("long")
-    return table(spark, sf, "pages").select("page_id", n("li").alias("n_items"), n("p").alias("n_paras"), n("h1").alias("n_heads"))
-
-
 @query("strip_tags", "SELECT page_id, md5(regexp_replace(html, '<[^>]*>', '', 'g')) AS bare FROM pages")
 def strip_tags(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(X.strip_tags("html")).alias("bare"))
@@ -251,9 +206,8 @@ def bullet_runs(spark, sf):
 
 @query(
     "list_depths",
-    f"""WITH RECURSIVE {LINES_SQL}, l AS (SELECT doc_id, line_no, CAST(length(line) % 9 AS INTEGER) AS level FROM d WHERE line_no < 60),
-r AS (SELECT doc_id, line_no, level, 0 AS depth FROM l WHERE line_no = 0 UNION ALL SELECT l.doc_id, l.line_no, l.level, least(l.level, r.depth + 1) FROM r JOIN l ON l.doc_id = r.doc_id AND l.line_no = r.line_no + 1)
-SELECT doc_id, line_no, depth FROM r""",
+    f"""WITH {LINES_SQL}, l AS (SELECT doc_id, line_no, CASE WHEN line_no = 0 THEN 0 ELSE length(line) % 9 END AS level FROM d)
+SELECT doc_id, line_no, CAST(line_no + min(level - line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS INTEGER) AS depth FROM l""",
 )
 def list_depths(spark, sf):
     levels = lines(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", (F.char_length("line") % 9).alias("level")))).alias("l"))
@@ -281,10 +235,9 @@ def rel_last_wins(spark, sf):
 SQL["rel_last_wins"] = "SELECT o_custkey, o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"
 
 
-@query("first_match", "SELECT p_brand, arg_min(p_name, p_partkey) AS target FROM part WHERE regexp_matches(p_type, '^S') GROUP BY p_brand")
+@query("first_match", "SELECT p_brand, arg_min(p_type, p_partkey) AS target FROM part WHERE regexp_matches(p_type, '^S') GROUP BY p_brand")
 def first_match(spark, sf):
-    rels = table(spark, sf, "part").select("p_brand", "p_type", "p_name", "p_partkey").where(F.col("p_type").rlike("^S"))
-    return R.first_match(rels, ("p_brand",), ".", "target", "p_partkey", "p_name")
+    return R.first_match(table(spark, sf, "part").select("p_brand", "p_type", "p_partkey"), ("p_brand",), "^S", "target", "p_partkey", "p_type")
 
 
 @query(
@@ -325,12 +278,6 @@ def semi_labels(spark, sf):
     return R.members(table(spark, sf, "documents"), table(spark, sf, "labels").where("toxic = 1"), ["doc_id"]).select("doc_id", "n_chars")
 
 
-@query("node_union", "SELECT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'A' UNION SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
-def node_union(spark, sf):
-    a = table(spark, sf, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("id"))
-    return a.unionByName(table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))).distinct()
-
-
 @query("caption_pairs", "SELECT conv_id, turn, text AS caption, nxt AS image FROM (SELECT *, lead(text) OVER w AS nxt, lead(role) OVER w AS nrole FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nrole = 'assistant'")
 def caption_pairs(spark, sf):
     return R.caption_pairs(table(spark, sf, "conversations"), ("conv_id",), ("turn",), F.col("role") == "user", F.col("role") == "assistant", "text", "text")
@@ -358,36 +305,11 @@ def media_names(spark, sf):
     return R.media_names(media, ("p_brand",), "path", "p_partkey", X.image_name("path"))
 
 
-@query("ordered_concat", "SELECT conv_id, md5('Diagram: ' || string_agg(text, '; ' ORDER BY turn)) AS label FROM conversations WHERE text <> '' GROUP BY conv_id")
-def ordered_concat(spark, sf):
-    c = table(spark, sf, "conversations").where("text <> ''").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return c.select("conv_id", F.md5(F.concat(F.lit("Diagram: "), F.array_join(F.col("t.text"), "; "))).alias("label"))
-
-
 @query("size_limits", "SELECT source, doc_id, CAST(running AS BIGINT) AS running, n_chars > 20000 OR running > 100000 AS over FROM (SELECT *, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS running FROM documents)")
 def size_limits(spark, sf):
     return R.over_limits(table(spark, sf, "documents"), ("source",), ("doc_id",), "n_chars", 20000, 100000).select("source", "doc_id", "running", "over")
 
 
-@query("async_route", f"WITH {LINES_SQL} SELECT doc_id, count(*) AS n_pages, CASE WHEN count(*) > 30 THEN 'queued' ELSE 'inline' END AS route FROM d GROUP BY doc_id")
-def async_route(spark, sf):
-    counted = lines(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n_pages"))
-    return counted.withColumn("route", F.when(F.col("n_pages") > M.ASYNC_THRESHOLD, "queued").otherwise("inline"))
-
-
-@query("pending_requests", "SELECT event_id, user_id FROM events e WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM events p WHERE p.user_id = e.user_id AND CAST(p.ts AS DATE) = CAST(e.ts AS DATE) AND p.event_type = 'purchase')")
-def pending_requests(spark, sf):
-    e = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
-    return R.strangers(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), ["user_id", "day"]).select("event_id", "user_id")
-
-
-@query("retention", "SELECT event_id FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
-def retention(spark, sf):
-    e = table(spark, sf, "events")
-    latest = e.agg(F.max("ts").alias("latest"))
-    return e.join(F.broadcast(latest), F.expr(f"ts < latest - INTERVAL {M.RETENTION_DAYS} DAY")).select("event_id")  # one row: the cutoff
-
-
 @query("newest_upload", "SELECT user_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def newest_upload(spark, sf):
     return L.newest(table(spark, sf, "events").select("user_id", "event_id", "ts"), ("user_id",), "event_id")
@@ -424,20 +346,9 @@ def cache_keys(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", X.cache_key("c_name", "c_mktsegment").alias("k"))
 
 
-@query("stored_titles", "SELECT doc_id, substr(coalesce(nullif(trim(text, " + WS + "), ''), 'Slide ' || doc_id), 1, 255) AS title FROM documents")
-def stored_titles(spark, sf):
-    blank = F.coalesce(F.nullif(X.trim("text"), F.lit("")), F.concat(F.lit("Slide "), F.col("doc_id")))
-    return table(spark, sf, "documents").select("doc_id", F.substring(blank, 1, M.STORED_TITLE_CHARS).alias("title"))
-
-
 @query("file_types", "SELECT page_id, lower(regexp_extract(url, '\\.([^.]+)$', 1)) AS ext, CASE WHEN lower(regexp_extract(url, '\\.([^.]+)$', 1)) = 'pdf' THEN 'pdf' ELSE 'deck' END AS backend, regexp_replace(list_extract(string_split(url, '/'), -1), '[^a-zA-Z0-9._-]+', '_', 'g') AS base FROM pages")
 def file_types(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.extension("url").alias("ext"), F.when(X.extension("url") == "pdf", "pdf").otherwise("deck").alias("backend"), X.base_name("url", "").alias("base"))
-
-
-@query("slide_counts", f"WITH {LINES_SQL} SELECT doc_id, count(*) AS n_raw, count(*) FILTER (length(line) > 0) AS n_visible FROM d GROUP BY doc_id")
-def slide_counts(spark, sf):
-    return lines(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n_raw"), F.count_if(F.char_length("line") > 0).alias("n_visible"))
+    return table(spark, sf, "pages").select("page_id", X.extension("url").alias("ext"), imports.backend(F.col("url")).alias("backend"), X.base_name("url", "").alias("base"))
 
 
 @query("image_runs", f"""WITH RECURSIVE {BLOCKS_SQL}, {ROWS_SQL},
