@@ -10,6 +10,7 @@ length apart from table padding, which is bounded.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -19,10 +20,11 @@ from pyspark.sql import functions as F
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-INVISIBLE = frozenset("head script style template noscript iframe object svg math canvas audio video select datalist dialog noembed noframes title meta link".split())
+INVISIBLE = frozenset("head script style template noscript iframe object canvas audio video datalist noembed noframes title meta link desc metadata defs symbol".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
+LINES = frozenset("option optgroup text".split())  # not blocks, but each in a line of its own
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
 #: A start tag that closes an open element of these names, up to the nearest of the scopes.
 CLOSES = {
@@ -49,40 +51,135 @@ _TOKEN = re.compile(_OTHER + _TAG + r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S
 _LOOSE = re.compile(_OTHER + _TAG + r"([^>]*)>", re.S)
 _OPEN_COMMENT = re.compile(r"<!--.*\Z", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z-]+)", re.I)
+_COMMENT = re.compile(r"/\*.*?\*/", re.S)
+_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_SELECTOR = re.compile(r"([a-z][a-z0-9]*|)(?:([.#])([\w-]+))?", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-DEEPEST = 400  # elements nested deeper become siblings, so that no page can exhaust the stack
+DEEPEST = 400  # elements nested deeper are laid out in the line of the one at this depth, so that no page can exhaust the stack
+MOST_COLUMNS, MOST_ROWS = 1000, 65_534  # fixed values: the largest spans that HTML allows
 WIDEST = 60  # columns are padded to at most this width
 
 
 class Node:
-    __slots__ = ("attrs", "hidden", "kids", "name")
+    """An element. ``hidden`` ones have no box; ``unseen`` is the inherited visibility, which a descendant may set anew."""
 
-    def __init__(self, name: str, attrs: dict[str, str] | None = None):
+    __slots__ = ("attrs", "hidden", "kids", "name", "unseen")
+
+    def __init__(self, name: str, attrs: dict[str, str] | None = None, unseen: bool = False, rules: Rules | None = None):
         self.name, self.attrs, self.kids = name, attrs or {}, []
         style = self.attrs.get("style", "")
-        self.hidden = name in INVISIBLE or "hidden" in self.attrs or (name == "input" and self.attrs.get("type") == "hidden") or bool(style and _HIDING.search(style))
+        display = visibility = ""
+        if rules:
+            display, visibility = rules.of(name, self.attrs)
+        if style:
+            display = _last(_DISPLAY, style) or display
+            visibility = _last(_VISIBILITY, style) or visibility
+        closed = name == "dialog" and "open" not in self.attrs
+        off = name in INVISIBLE or (name == "input" and self.attrs.get("type") == "hidden")
+        self.hidden = off or display == "none" or (display == "" and ("hidden" in self.attrs or closed))
+        self.unseen = visibility in ("hidden", "collapse") if visibility in ("visible", "hidden", "collapse") else unseen
 
 
-def parse(html: str) -> Node:
-    """The element tree of a page. Start tags imply end tags; stray end tags are ignored."""
-    root = Node("#root")
-    stack = [root]
-    at, lower, last, pattern = 0, None, html.rfind(">"), _TOKEN
+def _last(pattern: re.Pattern, style: str) -> str:
+    return (pattern.findall(style.lower()) or [""])[-1]
+
 
-    def close(names, scope) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in scope:
-                return
-            if stack[i].name in names:
-                del stack[i:]
-                return
+class Rules:
+    """Display and visibility by the simple selectors of a page's style sheets: an element, a class, an id, or an element with one of them.
+
+    Later rules win over earlier ones of equal weight; an id outweighs a class, a
+    class an element's name. Rules within conditions (``@media``) and other selectors don't count.
+    """
+
+    def __init__(self):
+        self.found: dict[tuple[str, str, str], list[tuple[int, str, str]]] = {}
+        self.n = 0
+
+    def add(self, sheet: str) -> None:
+        sheet = _COMMENT.sub("", sheet)
+        while True:  # conditional blocks, the innermost left as they are by the rule pattern
+            at = re.search(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}?)", sheet)
+            if not at:
+                break
+            sheet = sheet[: at.start()] + sheet[at.end() :]
+        for m in _RULE.finditer(sheet):
+            display, visibility = _last(_DISPLAY, m.group(2)), _last(_VISIBILITY, m.group(2))
+            if display or visibility:
+                for part in m.group(1).split(","):
+                    one = _SELECTOR.fullmatch(part.strip())
+                    if one and part.strip():
+                        self.n += 1
+                        self.found.setdefault((one.group(1).lower(), one.group(2) or "", one.group(3) or ""), []).append((self.n, display, visibility))
+
+    def of(self, name: str, attrs: dict[str, str]) -> tuple[str, str]:
+        if not self.found:
+            return "", ""
+        marks = [("", "", 0)] + [(".", c, 2) for c in attrs.get("class", "").split()] + ([("#", attrs["id"], 4)] if "id" in attrs else [])
+        met = [(weight + (tag != ""), n, d, v) for tag in ("", name) for mark, value, weight in marks for n, d, v in self.found.get((tag, mark, value), ())]
+        display = visibility = ""
+        for _, _, d, v in sorted(met):
+            display, visibility = d or display, v or visibility
+        return display, visibility
+
+
+class _Open:
+    """The open elements of a page, with the places of each name, so that closing looks at names and not at every element."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], {}
+
+    @property
+    def top(self) -> Node:
+        return self.stack[-1]
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.name, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, i: int) -> None:
+        for node in reversed(self.stack[i:]):
+            self.at[node.name].pop()
+        del self.stack[i:]
+
+    def last(self, names) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
+    def close(self, names, scope) -> bool:
+        """Close the nearest element of these names, and all within it, unless one of the scopes is nearer."""
+        i = self.last(names)
+        if i and i > self.last(scope - names if names & scope else scope):
+            self.cut(i)
+            return True
+        return False
+
+    def text(self, value: str) -> None:
+        if self.top.name == "head" and value.strip():
+            self.cut(len(self.stack) - 1)
+        if not self.top.unseen:
+            self.top.kids.append(unescape(value))
+
+    def add(self, node: Node, void: bool) -> None:
+        """Put an element into the open one, and open it. Below ``DEEPEST`` what it holds goes to the line of the element at that depth."""
+        kids = self.top.kids
+        if len(self.stack) < DEEPEST or void:
+            kids.append(node)
+        elif not node.hidden:
+            if node.name in BLOCK:
+                kids.append(Node("br"))
+            if node.name == "li":
+                kids.append("- ")
+            node.kids = kids
+        if not void:
+            self.push(node)
 
-    def add(text: str) -> None:
-        if stack[-1].name == "head" and text.strip():
-            del stack[-1]
-        stack[-1].kids.append(unescape(text))
 
+def parse(html: str) -> Node:
+    """The element tree of a page. Start tags imply end tags; stray end tags are ignored."""
+    root, rules = Node("#root"), Rules()
+    tree = _Open(root)
+    at, lower, last, pattern = 0, None, html.rfind(">"), _TOKEN
     while at < len(html):
         begin = html.find("<", at)
         while 0 <= begin <= last:
@@ -97,7 +194,7 @@ def parse(html: str) -> Node:
             m = _OPEN_COMMENT.search(html, at)
         text = html[at : m.start()] if m else html[at:]
         if text:
-            add(text)
+            tree.text(text)
         if not m:
             break
         at = m.end()
@@ -107,31 +204,29 @@ def parse(html: str) -> Node:
         name = name.lower()
         if m.group(1):
             if name == "br":
-                stack[-1].kids.append(Node("br"))
-            elif name == "p" and not any(n.name == "p" for n in stack):
-                stack[-1].kids.append(Node("p"))
+                tree.top.kids.append(Node("br"))
+            elif name == "p" and not tree.at.get("p"):
+                tree.top.kids.append(Node("p"))
             else:
-                close({name}, {"td", "th", "table"} - {name} if name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") else {"table"} - {name})
+                deep = len(tree.stack) > DEEPEST and name in BLOCK
+                tree.close({name}, {"td", "th", "table"} - {name} if name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") else {"table"} - {name})
+                if deep:
+                    tree.top.kids.append(Node("br"))
             continue
-        if stack[-1].name == "head" and name not in IN_HEAD:
-            del stack[-1]
+        if tree.top.name == "head" and name not in IN_HEAD:
+            tree.cut(len(tree.stack) - 1)
         if name in ENDS_P:
-            close({"p"}, P_SCOPE)
+            tree.close({"p"}, P_SCOPE)
         if name in CLOSES:
-            names, scope = CLOSES[name]
-            while any(n.name in names for n in stack[1:]):
-                before = len(stack)
-                close(names, scope)
-                if len(stack) == before:
-                    break
+            while tree.close(*CLOSES[name]):
+                pass
         attrs = {}
         if m.group(3).strip(" /"):
             for a in _ATTRIBUTE.finditer(m.group(3)):
                 attrs.setdefault(a.group(1).lower(), unescape(a.group(2) or a.group(3) or a.group(4) or ""))
-        node = Node(name, attrs)
-        stack[-1].kids.append(node)
-        if name in VOID:
-            continue
+        node = Node(name, attrs, tree.top.unseen, rules)
+        if name == "img" and node.unseen:
+            node.hidden = True
         if name in RAW:
             lower = html.lower() if lower is None else lower
             end = lower.find(f"</{name}", at) if len(lower) == len(html) else -1
@@ -139,12 +234,15 @@ def parse(html: str) -> Node:
                 found = re.compile(f"</{name}", re.I).search(html, at)
                 end = found.start() if found else -1
             body = html[at : end if end >= 0 else len(html)]
-            if body and not node.hidden:
+            if name == "style" and attrs.get("media", "all").strip().lower() in ("", "all", "screen"):
+                rules.add(body)
+            if body and not node.hidden and not node.unseen:
                 node.kids.append(unescape(body))
             after = html.find(">", end) if end >= 0 else -1
             at = after + 1 if after >= 0 else len(html)
-        elif len(stack) < DEEPEST:
-            stack.append(node)
+            tree.top.kids.append(node)
+        else:
+            tree.add(node, name in VOID)
     return root
 
 
@@ -218,7 +316,7 @@ def _children(node: Node, out: _Writer, level: int) -> None:
             if any(x.strip() for x in lines):
                 out.put([x.rstrip() for x in lines])
             out.space()
-        elif name in BLOCK:
+        elif name in BLOCK or name in LINES:
             apart = name in SPACED and not (name in ("ul", "ol") and node.name == "li")
             out.space() if apart else out.flush()
             if name in ("dd", "blockquote"):
@@ -269,32 +367,39 @@ def _table(node: Node, level: int) -> list[str]:
     before += _inside(strays, level)
     if loose.kids:
         rows.append(loose)
-    grid, carry = [], {}
-    for row in rows:
-        cells, column = [], 0
+    grid: list[list[tuple[int, str]]] = []  # a row's cells by the column that they begin in
+    held: list[tuple[int, int, int]] = []  # columns taken by cells of earlier rows: from, to, the row where they end
+    for at, row in enumerate(rows):
+        held = [h for h in held if h[2] > at]
+        cells, column, passed, new = [], 0, 0, []
         kids = [k if isinstance(k, Node) else _text(k) for k in row.kids]
         for kid in kids:
             if kid.hidden or (kid.name == "#text" and not kid.kids[0].strip()):
                 continue
-            while carry.get(column, 0):
-                carry[column] -= 1
-                cells.append("")
-                column += 1
+            while passed < len(held) and held[passed][0] <= column:
+                column = max(column, held[passed][1])
+                passed += 1
             lines = _inside(kid, level + 1) if kid.name in ("td", "th", "#text") else _inside(_wrapped(kid), level + 1)
-            cells.append(" ".join(x.strip() for x in lines if x))
+            cells.append((column, " ".join(x.strip() for x in lines if x)))
             span, down = (_span(kid, a) for a in ("colspan", "rowspan"))
-            cells += [""] * (span - 1)
             if down > 1:
-                for c in range(column, column + span):
-                    carry[c] = down - 1
+                new.append((column, column + span, at + down))
             column += span
-        if any(cells):
+        held = sorted(held + new)
+        if any(c for _, c in cells):
             grid.append(cells)
-    widths: dict[int, int] = {}
+    widths: dict[int, int] = {}  # columns that no cell begins in take no room
     for cells in grid:
-        for i, c in enumerate(cells):
+        for i, c in cells:
             widths[i] = min(WIDEST, max(widths.get(i, 0), len(c)))
-    return before + ["  ".join(c.ljust(widths[i]) for i, c in enumerate(cells)).rstrip() for cells in grid]
+    order = sorted(widths)
+    out = []
+    for cells in grid:
+        own, line = dict(cells), []
+        for i in order[: bisect_right(order, max(own))]:
+            line.append(own.get(i, "").ljust(widths[i]))
+        out.append("  ".join(line).rstrip())
+    return before + out
 
 
 def _text(value: str) -> Node:
@@ -310,8 +415,8 @@ def _wrapped(kid: Node) -> Node:
 
 
 def _span(node: Node, name: str) -> int:
-    value = node.attrs.get(name, "1")
-    return min(50, max(1, int(value))) if re.fullmatch("[0-9]{1,4}", value) else 1
+    value = re.match(r"\s*\+?([0-9]+)", node.attrs.get(name, ""))
+    return min(MOST_COLUMNS if name == "colspan" else MOST_ROWS, max(1, int(value.group(1)[:9]))) if value else 1
 
 
 def render(html: str | None) -> str:
@@ -319,10 +424,15 @@ def render(html: str | None) -> str:
     return "\n".join(_inside(parse(html), 0)) if html else ""
 
 
+_TITLE = re.compile(r"<title(?:\s[^>]*)?>", re.I)
+_TITLE_END = re.compile(r"</title", re.I)
+
+
 def title_of(html: str | None) -> str:
     """The text of the first title element, else empty."""
-    m = re.search(r"<title(?:\s[^>]*)?>(.*?)</title", html or "", re.I | re.S)
-    return _SPACE.sub(" ", unescape(m.group(1))).strip(" ") if m else ""
+    begin = _TITLE.search(html or "")
+    end = _TITLE_END.search(html, begin.end()) if begin else None
+    return _SPACE.sub(" ", unescape(html[begin.end() : end.start()])).strip(" ") if end else ""
 
 
 def _extract(batches):
