@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -91,6 +92,13 @@ class Model:
     log_k: float = 0.0
     weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0, 0.0)
 
+    def __getstate__(self) -> dict:
+        """Mostly zeros, the table travels and is stored packed."""
+        return self.__dict__ | {c: zlib.compress(getattr(self, c).tobytes(), 1) for c in ("n", "y")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {c: np.frombuffer(zlib.decompress(state[c]), np.int32) for c in ("n", "y")}
+
     def word_score(self) -> Callable[[str], float]:
         """A function from a word to its score: the rate of label 1 along its units, as log-odds against the base, less a drift.
 
