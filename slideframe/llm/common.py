@@ -49,20 +49,19 @@ def hashed_sample(df: DataFrame, key: list[Column | str], rows: int, of: int) ->
 HEAVY_SHARE, HEAVY_LEAST = 1 / 4096, 256
 
 
-def spread_join(rows: DataFrame, table: DataFrame, on: list[str], spread: list[str]) -> DataFrame:
-    """Inner join of ``rows`` to a table with one row a key, heavy keys dealt out to many tasks.
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of stored ``rows`` to a table with one row a key, heavy keys dealt out to many tasks.
 
-    The rows of a key that holds more than a fixed share of all rows get a salt
-    from the columns ``spread``, and the key's row in the table is repeated for each salt.
-    The list of heavy keys is broadcast: the share bounds it to 4,096 rows.
+    The rows of a key that holds more than a fixed share of all rows get salts in
+    turn, and the key's row in the table is repeated for each salt. The list
+    of heavy keys is broadcast: the share bounds it to 4,096 rows.
     """
-    rows = durable(rows)
     bound = max(HEAVY_LEAST, int(rows.count() * HEAVY_SHARE))
     heavy = durable(rows.groupBy(*on).count().where(F.col("count") > bound).select(*on, F.ceil(F.col("count") / bound).cast("int").alias("_salts")))
     if heavy.isEmpty():
         return rows.join(table, on)
     salts = F.coalesce("_salts", F.lit(1))
-    dealt = rows.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.pmod(F.xxhash64(F.lit("salt"), *spread), salts).cast("int")).drop("_salts")
+    dealt = rows.withColumn("_n", F.monotonically_increasing_id()).join(F.broadcast(heavy), on, "left").withColumn("_salt", F.pmod("_n", salts).cast("int")).drop("_n", "_salts")
     held = table.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return dealt.join(held, [*on, "_salt"]).drop("_salt")
 

@@ -75,15 +75,22 @@ def test_candidates_are_few(spark):
     v /= np.linalg.norm(v, axis=1)[:, None]
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, v array<double>").withColumn("h", F.lit(0))
     index = ann.fit(df, 20)
-    perm = ann.permutations(v, index.pivots, index.prefix)
+    prod = ann.products(v, index.pivots)
+    near, weights = ann.files(prod, index.asked), ann.orders(prod, index.prefix)
     share, kept = [], []
     for q in range(0, 6000, 60):
         score = v @ v[q]
         score[q] = -1
-        place = ann.places(perm[q], len(index.pivots))
-        met = (ann.gains(perm, place) >= index.least) & (place[perm[:, : ann.POSTED]].min(axis=1) <= index.probes)
+        gain = ann.gains(weights, weights[q])
+        met = (gain >= index.least) & [bool(set(f) & set(near[q, : index.probes].tolist())) for f in near[:, : ann.POSTED].tolist()]
         share.append(met.mean())
         kept.append(met[np.argsort(-score)[:20]].mean())
+        if q < 600:  # footrule by its definition: pivots beyond the prefix all stand one place behind it
+            order = np.argsort(-prod[[q, q + 1], : ann.ORDERED], axis=1, kind="stable")[:, : index.prefix].tolist()
+            place = [{p: a for a, p in enumerate(o, 1)} for o in order]
+            end = index.prefix + 1
+            far = sum(abs(place[0].get(p, end) - place[1].get(p, end)) for p in range(ann.ORDERED))
+            assert far == index.prefix * (index.prefix + 1) - 2 * gain[q + 1]
     assert np.mean(share) < 0.1 and np.mean(kept) > 0.9
 
 
