@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import components
-from .common import durable, ensure_shared_dir, slices
+from .common import durable, ensure_shared_dir, slices, spread_join
 
 BITS = 64
 FRONTIER = 1 << 18  # node pairs taken at a time
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lows = classes.where("root <> fp").select("root").distinct()  # classes of one need no second look
     tied = classes.join(lows, "root", "left_semi").groupBy("root").agg(F.min("low").alias("least"))
     classes = classes.join(tied, "root", "left").select("fp", "root", F.coalesce("least", "low").alias("component"))
-    return found.join(classes, "fp").select("id", "r", "fp", "root", "component")
+    return spread_join(found, classes, ["fp"]).select("id", "r", "fp", "root", "component")
 
 
 NULL_ID = -(1 << 63)
@@ -223,13 +223,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """The rows of ``docs``, all columns kept, with one row of each class of near-duplicates.
 
     The least id stays, null ids last; of rows that share it, the one with
-    the least text hash, and of rows repeated entirely any one.
+    the least text hash, and of rows that share both the one with the least hash
+    of its other columns (maps, which have none, apart).
     """
     rows = near_duplicates(docs, id_col, text_col, **options)
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "r")).alias("b"))
     best = best.select(F.coalesce("b.id", F.lit(NULL_ID)).alias("_keep_id"), F.col("b.r").alias("_keep_r"))
     marked = docs.withColumns({"_keep_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "_keep_r": text_hash(text_col)})
-    return marked.join(best, ["_keep_id", "_keep_r"], "left_semi").dropDuplicates(["_keep_id", "_keep_r"]).select(*docs.columns)
+    kept = marked.join(best, ["_keep_id", "_keep_r"], "left_semi")
+    rest = F.xxhash64(F.lit(0), *[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    return kept.groupBy("_keep_id", "_keep_r").agg(F.min_by(F.struct(*docs.columns), rest).alias("_row")).select("_row.*")
 
 
 def hex16(fp):
