@@ -23,12 +23,31 @@ _STREAM = re.compile(rb"/Type\s*/ObjStm.*?stream\r?\n(.*?)endstream", re.S)
 DPI, RENDER_TIMEOUT = 150, 600
 
 
+def _inflated(data: bytes, piece: int = 1 << 20) -> Iterator[bytes]:
+    """A compressed stream in pieces, whatever its full size."""
+    z = zlib.decompressobj()
+    while data and not z.eof:
+        yield z.decompress(data, piece)
+        data = z.unconsumed_tail
+
+
+def _pages_in(pieces: Iterator[bytes], overlap: int = 256) -> int:
+    """Page objects in a text that comes in pieces; those at a seam are counted once."""
+    n, rest = 0, b""
+    for piece in pieces:
+        rest += piece
+        edge = max(0, len(rest) - overlap)
+        n += sum(m.start() < edge for m in _PAGE.finditer(rest))
+        rest = rest[edge:]
+    return n + len(_PAGE.findall(rest))
+
+
 def count_pages(data: bytes) -> int:
     """Page objects in a file, those in compressed object streams included; 0 if unknown."""
     n = len(_PAGE.findall(data))
     for m in _STREAM.finditer(data):
         try:
-            n += len(_PAGE.findall(zlib.decompressobj().decompress(m.group(1), 64 << 20)))
+            n += _pages_in(_inflated(m.group(1)))
         except zlib.error:
             continue
     return n

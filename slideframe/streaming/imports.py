@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from .. import model as M
+from ..durable import durable
 from ..model import ImportOptions
 from ..operators import relate as R
 from ..plans import deck, sink
-from ..sources import package
+from ..sources import package, pdf
 
 
 def backend(path: Column) -> Column:
@@ -23,7 +29,7 @@ def effective_mode(options: ImportOptions, renderer_available: bool) -> str:
     return "images" if options.import_mode == "images" and renderer_available else "editable"
 
 
-def arriving(spark: SparkSession, path: str, pattern: str = "*.pptx", files_per_batch: int = 100) -> DataFrame:
+def arriving(spark: SparkSession, path: str, pattern: str = "*.{pptx,pdf,PPTX,PDF}", files_per_batch: int = 100) -> DataFrame:
     """A stream of (deck_id, modified, content) from a folder."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     rows = spark.readStream.schema(schema).format("binaryFile").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).load(path)
@@ -50,14 +56,83 @@ def expired(staged: DataFrame, now: Column, days: int = M.RETENTION_DAYS, create
     return staged.where(F.col(created) < now - F.expr(f"INTERVAL {days} DAYS"))
 
 
-def import_batch(packages: DataFrame, folder: str, batch: str, options: ImportOptions | None = None, lesson: Column | None = None) -> None:
-    """Import one batch of decks into their lessons (by default a deck is its own lesson)."""
-    slides = package.slides(packages)
-    pages = deck.pages(slides, options).withColumn("lesson_id", lesson if lesson is not None else F.col("deck_id"))
-    nothing = packages.sparkSession.createDataFrame([], "lesson_id string, page_id long")
-    sink.write(sink.chained(pages, nothing), folder, batch)
+@contextmanager
+def locked(spark: SparkSession, folder: str, owner: str, wait: float = M.LOCK_WAIT_S) -> Iterator[None]:
+    """Hold a folder's lock, a file that only one writer can create; waits for another owner's for so many seconds.
+
+    The owner is written into the file, so a writer that was lost and started again takes its own lock over.
+    """
+    hadoop = spark._jvm.org.apache.hadoop
+    at = hadoop.fs.Path(f"{folder}/_lock")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    until = time.monotonic() + wait
+    while True:
+        try:
+            out = fs.create(at, False)
+            out.writeUTF(owner)
+            out.close()
+            break
+        except Py4JJavaError:  # it exists
+            if fs.exists(at):
+                try:
+                    held = fs.open(at)
+                    mine = held.readUTF() == owner
+                    held.close()
+                except Py4JJavaError:  # another writer is just writing or removing it
+                    mine = False
+                if mine:
+                    break
+            if time.monotonic() >= until:
+                raise TimeoutError(f"{folder} is being written by another import") from None
+            time.sleep(0.1)
+    try:
+        yield
+    finally:
+        fs.delete(at, False)
+
+
+def import_batch(packages: DataFrame, folder: str, batch: str, options: ImportOptions | None = None, lesson: Column | None = None, renderer: deck.Renderer | None = None, owner: str = "") -> None:
+    """Import one batch of (deck_id, content) into their lessons (by default a file is its own lesson).
+
+    Decks become pages of blocks, or of pictures where the options ask for them and
+    a renderer is given; PDF files need a renderer. New pages go behind
+    the stored ones of their lesson, media are stored with their bytes, and files that
+    give no pages are listed in ``errors`` with the reason.
+    """
+    o = options or ImportOptions()
+    spark = packages.sparkSession
+    packages = packages.select("deck_id", "content", *([] if lesson is None else [lesson.alias("lesson_id")]))
+    kind = backend(F.col("deck_id"))
+    decks, sheets = packages.where(kind == "deck"), packages.where(kind == "pdf")
+    slides = package.slides(decks)
+    media = package.parts(decks, "^ppt/media/")
+    errors = slides.where("error IS NOT NULL").select("deck_id", "error").unionByName(media.where("error IS NOT NULL").select("deck_id", "error")).distinct()
+    if effective_mode(o, renderer is not None) == "images":
+        pages, shots = deck.image_pages(decks, slides, renderer, o), deck.rendered_images(decks, renderer, o)
+        media = shots.select("deck_id", F.col("filename").alias("path"), "bytes")
+    else:
+        pages = deck.pages(slides, o).join(media.where("error IS NOT NULL").select("deck_id"), "deck_id", "left_anti")
+        media = media.where("error IS NULL").select("deck_id", "path", "bytes")
+    if renderer is None:
+        errors = errors.unionByName(sheets.select("deck_id", F.lit("no renderer").alias("error")))
+    else:
+        pages = pages.unionByName(pdf.pages(sheets, renderer, o))
+        media = media.unionByName(deck.rendered_images(sheets, renderer, o).select("deck_id", F.col("filename").alias("path"), "bytes"))
+    if lesson is None:
+        pages = pages.withColumn("lesson_id", F.col("deck_id"))
+    else:
+        pages = pages.join(packages.select("deck_id", "lesson_id"), "deck_id")
+    with locked(spark, folder, owner or batch):
+        there = sink.stored(spark, folder, but=batch)
+        new = durable(sink.chained(pages, there if there is not None else spark.createDataFrame([], "lesson_id string, page_id long")))
+        sink.write(new, folder, batch, media)
+        errors.write.mode("overwrite").parquet(f"{folder}/errors/batch={batch}")
+
+
+def run(stream: DataFrame, folder: str, checkpoint: str, options: ImportOptions | None = None, lesson: Column | None = None, renderer: deck.Renderer | None = None, **trigger) -> StreamingQuery:
+    """Start importing a stream of decks; a batch that is run again replaces its own output."""
 
+    def batch(rows: DataFrame, n: int) -> None:
+        import_batch(rows, folder, str(n), options, lesson, renderer, owner=checkpoint)
 
-def run(stream: DataFrame, folder: str, checkpoint: str, options: ImportOptions | None = None, **trigger) -> StreamingQuery:
-    """Start importing a stream of decks; a batch that is run again replaces its own output."""
-    return stream.writeStream.foreachBatch(lambda rows, n: import_batch(rows, folder, str(n), options)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from decks import deck, para, slide, sp
+from decks import deck, para, pic, slide, sp
 from slideframe.functions import images as I
 from slideframe.model import ImportOptions
 from slideframe.plans import sink
@@ -134,6 +134,49 @@ def test_stream_imports_each_deck_once(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/answers").count() == 2
 
 
+def test_batches_append_to_a_lesson(spark, tmp_path):
+    """Pages of a second batch follow the stored ones, the old tail points on, and a repeated batch replaces itself."""
+    one, two = (deck([slide(sp(para(f"{n} {i}"), ph='type="title"'), pic("rId1", 0, 3000000, 900000, 900000)) for i in (1, 2)], [[("rId1", "../media/image1.png")]] * 2, {"ppt/media/image1.png": b"bytes"}) for n in ("one", "two"))
+    rows = lambda *r: spark.createDataFrame([(n, bytearray(c)) for n, c in r], "deck_id string, content binary")
+    folder = str(tmp_path / "store")
+    fake = lambda data, dim, font: iter([(1, "page1.png", b"shot")])
+    imports.import_batch(rows(("a.pptx", one), ("bad.pptx", b"no zip"), ("s.pdf", a_pdf(1))), folder, "0", lesson=F.lit("L"))
+    for _ in range(2):
+        imports.import_batch(rows(("b.pptx", two), ("t.pdf", a_pdf(1))), folder, "1", lesson=F.lit("L"), renderer=fake)
+    got = [(r["page_id"], r["prev_id"], r["next_id"], r["title"]) for r in sink.read_pages(spark, folder).orderBy("page_id").collect()]
+    assert got == [(1, 0, 2, "one 1"), (2, 1, 3, "one 2"), (3, 2, 4, "two 1"), (4, 3, 5, "two 2"), (5, 4, 0, "Page 1")]
+    assert {(r["page_id"], r["filename"], bytes(r["bytes"])) for r in spark.read.parquet(f"{folder}/media").collect()} == {(1, "image1.png", b"bytes"), (2, "image1.png", b"bytes"), (3, "image1.png", b"bytes"), (4, "image1.png", b"bytes"), (5, "page1.png", b"shot")}
+    assert {(r["deck_id"], r["error"]) for r in spark.read.parquet(f"{folder}/errors").collect()} == {("bad.pptx", "not a deck"), ("s.pdf", "no renderer")}
+
+
+def test_a_deck_is_imported_whole_or_not_at_all(spark, monkeypatch):
+    content = deck([slide(sp(para("x" * n), ph='type="title"')) for n in (5, 5, 5000)], extra={"ppt/media/a.png": b"a", "ppt/media/b.png": b"b" * 6000})
+    real = package.Package
+    monkeypatch.setattr(package, "Package", lambda data: real(data, part_limit=4000))
+    assert list(package.read_slides(content)) == [{"error": "too large"}]
+    monkeypatch.undo()
+    rows = spark.createDataFrame([("a", bytearray(content)), ("b", bytearray(b"x"))], "deck_id string, content binary")
+    got = package.parts(rows, "media/").collect()
+    assert sorted((r["deck_id"], r["path"] or "", r["error"] or "") for r in got) == [("a", "ppt/media/a.png", ""), ("a", "ppt/media/b.png", ""), ("b", "", "not a deck")]
+
+
+def test_one_writer_a_folder(spark, tmp_path):
+    folder = str(tmp_path)
+    with imports.locked(spark, folder, "first"):
+        with pytest.raises(TimeoutError):
+            with imports.locked(spark, folder, "second", wait=0.3):
+                pass
+    with imports.locked(spark, folder, "second", wait=0.3):
+        with imports.locked(spark, folder, "second", wait=0.3):  # the same writer, started again
+            pass
+
+
+def test_pages_behind_64_mebibytes_are_counted():
+    body = b"<< /Type /Page >> " + b" " * (70 << 20) + b"<< /Type /Page >> " * 600
+    data = b"1 0 obj << /Type /ObjStm >> stream\n" + zlib.compress(body, 1) + b"endstream"
+    assert pdf.count_pages(data) == 601
+
+
 def test_requests(spark):
     counts = spark.createDataFrame([("a", 30), ("b", 31)], "deck_id string, n_pages int")
     assert {r["deck_id"]: r["route"] for r in imports.routed(counts).collect()} == {"a": "inline", "b": "queued"}
