@@ -7,17 +7,20 @@ import tempfile
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Spark's catalogue name of the setting for the folder that driver and executors share.
 SHARED_DIR = "spark.checkpoint.dir"
 
 
 def ensure_shared_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only where none is set (tests) make a local one."""
+    """Use the cluster's shared folder; only where none is set and the master is local (tests) make a local one."""
     if spark.conf.get(SHARED_DIR, None):
         return
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"{SHARED_DIR} must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="slideframe-checkpoint-"))
 
 
@@ -32,6 +35,22 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """About how many bytes a stored table's values take: measured, not the optimizer's estimate."""
+
+    def size(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        if isinstance(f.dataType, T.ArrayType):
+            each = (lambda x: F.coalesce(F.octet_length(x), F.lit(0)) + 16) if isinstance(f.dataType.elementType, T.StringType) else (lambda x: F.lit(8))
+            return F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + each(x)), F.lit(0)) + 24
+        return F.lit(8)
+
+    total = sum((size(f) for f in df.schema.fields), F.lit(0).cast("long"))
+    return df.agg(F.coalesce(F.sum(total), F.lit(0)).alias("n")).first()["n"]
+
+
 def hashed_sample(df: DataFrame, key: list[Column | str], rows: int, of: int) -> DataFrame:
     """At most ``rows`` rows, those with the least hashes of ``key``; ``of`` is the number of rows, or more.
 

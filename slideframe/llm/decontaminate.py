@@ -6,8 +6,8 @@ position, the words around) are stored, joined to the windows by word, and the
 alignment given by the two offsets is intersected word by word outwards.
 
 Scale: the documents are only scanned; what travels is the postings of rare
-benchmark words. Benchmark tables are broadcast only while they
-have at most ``BROADCAST_ROWS`` rows; beyond that Spark joins them by shuffle.
+benchmark words. Benchmark tables are broadcast only while their values take
+at most ``BROADCAST_BYTES``, as measured; beyond that Spark joins them by shuffle.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, stored_bytes
 
 #: ASCII but for digits and letters parts words; A-Z is lower-cased first.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -31,7 +31,7 @@ def words(text: Column) -> Column:
 
 def _small(df: DataFrame) -> DataFrame:
     """A stored benchmark table, marked for broadcast if its size allows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if stored_bytes(df) <= BROADCAST_BYTES else df
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

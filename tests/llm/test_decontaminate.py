@@ -57,8 +57,8 @@ def frames(spark, docs, items):
 def test_against_brute_force(spark, monkeypatch):
     docs, items = data()
     d, i = frames(spark, docs, items)
-    for window, rows in ((7, 500_000), (13, 500_000), (7, 0)):
-        monkeypatch.setattr(dc, "BROADCAST_ROWS", rows)
+    for window, most in ((7, 1 << 20), (13, 1 << 20), (7, -1)):
+        monkeypatch.setattr(dc, "BROADCAST_BYTES", most)
         got = [(g["id"], g["n_words"], g["n_hit"], g["n_items"], g["items"], g["contaminated"]) for g in dc.decontaminate(d, i, window).collect()]
         key = lambda x: (x[0] is None, x[0] or 0, x[1:])
         assert sorted(got, key=key) == sorted(brute(docs, items, window), key=key)
