@@ -281,10 +281,10 @@ def routes(spark, sf):
     return imports.routed(lines(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n_pages")))
 
 
-@query("admitted_requests", "SELECT event_id, user_id FROM events e WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+@query("admitted_requests", "SELECT event_id, user_id FROM events e WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id % 50 = 0)")
 def admitted_requests(spark, sf):
     e = table(spark, sf, "events").withColumnRenamed("user_id", "lesson_id")
-    return imports.admitted(e.where("event_type = 'view'"), e.where("event_type = 'purchase'")).select("event_id", F.col("lesson_id").alias("user_id"))
+    return imports.admitted(e.where("event_type = 'view'"), e.where("event_type = 'purchase' AND event_id % 50 = 0")).select("event_id", F.col("lesson_id").alias("user_id"))
 
 
 @query("expired_uploads", "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 7 DAY")
