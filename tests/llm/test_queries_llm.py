@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 COLUMNS = {
     "op2_ann": ["query_id", "rank", "vec_id", "score"],
     "op3_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
-    "op6_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op6_toxicity": ["doc_id", "held_out", "score", "predicted", "n_passages", "least_p"],
     "op7_simhash": ["doc_id", "fingerprint", "component_id"],
     "op8_mixing": ["doc_id", "tokens", "domain", "posterior", "rate"],
     "op9_quality": ["doc_id", "held_out", "score", "predicted"],
