@@ -11,7 +11,7 @@ import struct
 import subprocess
 import tempfile
 import zlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -24,6 +24,12 @@ from .. import model as M
 # WMF records that hold a device-independent bitmap, and depths of pixels.
 DIB_RECORDS = (0x0F43, 0x0B41, 0x0940, 0x0D33, 0x0F41)
 DEPTHS = (1, 4, 8, 16, 24, 32)
+# Fixed values of the two formats: a bitmap's header, a file's optional first and its own header, the head of a record.
+HEADER = np.dtype([("size", "<u4"), ("w", "<i4"), ("h", "<i4"), ("planes", "<u2"), ("depth", "<u2"), ("rest", "V24")])
+MOST_EDGE = 20000
+PLACEABLE = b"\xd7\xcd\xc6\x9a" + bytes(18)
+FILE_HEADER = 18
+RECORD = struct.Struct("<IH")
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4, 3: 1}
 Converter = Callable[[bytes, str], bytes | None]
@@ -131,12 +137,16 @@ def downscale(data: bytes, most: int) -> bytes:
 
 
 def find_bitmap(record: bytes) -> bytes | None:
-    """A bitmap within a record, from its 40-byte header on."""
-    for at in range(0, len(record) - 39, 2):
-        size, w, h, planes, depth = struct.unpack_from("<IiiHH", record, at)
-        if size == 40 and planes == 1 and depth in DEPTHS and 0 < w <= 20000 and 0 < abs(h) <= 20000:
-            return record[at:]
-    return None
+    """A bitmap within a record, from its header on: the first of the overlapping headers at even offsets that is sound."""
+    n = (len(record) - HEADER.itemsize) // 2 + 1
+    if n < 1:
+        return None
+    headers = np.ndarray(n, HEADER, record, strides=(2,))
+    at = np.flatnonzero(headers["size"] == HEADER.itemsize)
+    near = headers[at]
+    edges = np.stack([near["w"], np.abs(near["h"].astype(np.int64))])
+    sound = (near["planes"] == 1) & np.isin(near["depth"], DEPTHS) & ((edges > 0) & (edges <= MOST_EDGE)).all(axis=0)
+    return bytes(record[2 * at[sound][0] :]) if sound.any() else None
 
 
 def bitmap_pixels(dib: bytes) -> np.ndarray | None:
@@ -163,23 +173,28 @@ def bitmap_pixels(dib: bytes) -> np.ndarray | None:
     return px[::-1] if h > 0 else px
 
 
+def records(data: bytes) -> Iterator[tuple[int, memoryview]]:
+    """(function, parameters) of a WMF file's records, up to the first that is cut short."""
+    rest = memoryview(data)[len(PLACEABLE) * data.startswith(PLACEABLE[:4]) :]
+    if len(rest) < FILE_HEADER or rest[0] not in (1, 2) or rest[1]:
+        return
+    rest = rest[FILE_HEADER:]
+    while len(rest) >= RECORD.size:
+        words, function = RECORD.unpack_from(rest)
+        if not RECORD.size <= 2 * words <= len(rest):
+            return
+        yield function, rest[RECORD.size : 2 * words]
+        rest = rest[2 * words :]
+
+
 def wmf_to_png(data: bytes) -> bytes | None:
-    """The bitmap that makes up most of a WMF file, as PNG."""
-    at = 22 if data[:4] == b"\xd7\xcd\xc6\x9a" else 0
-    if at + 18 > len(data) or struct.unpack_from("<H", data, at)[0] not in (1, 2):
+    """The bitmap that makes up half of a WMF file or more, as PNG."""
+    largest = max((body for function, body in records(data) if function in DIB_RECORDS), key=len, default=b"")
+    if not largest or 2 * (RECORD.size + len(largest)) < len(data):
         return None
-    at += 18
-    best = b""
-    while at + 6 <= len(data):
-        words, kind = struct.unpack_from("<IH", data, at)
-        if words < 3 or at + 2 * words > len(data):
-            break
-        if kind in DIB_RECORDS and 2 * words > len(best):
-            best = data[at : at + 2 * words]
-        at += 2 * words
-    dib = find_bitmap(best[6:]) if best and len(best) >= len(data) * 0.5 else None
-    px = bitmap_pixels(dib) if dib is not None else None
-    return encode_png(px) if px is not None else None
+    dib = find_bitmap(largest)
+    px = None if dib is None else bitmap_pixels(dib)
+    return None if px is None else encode_png(px)
 
 
 def command(argv: list[str], timeout: float) -> Converter:

@@ -218,3 +218,20 @@ def test_office(monkeypatch):
     assert not office.runs(["no-such-program-here"], "x")
     with pytest.raises(RuntimeError):
         next(office.libreoffice(content))
+
+
+def test_bitmaps_at_any_place_in_a_record():
+    header = struct.pack("<IiiHHIIiiII", 40, 2, -2, 1, 24, 0, 0, 0, 0, 0, 0)
+    unsound = [struct.pack("<IiiHHIIiiII", 40, w, h, p, d, 0, 0, 0, 0, 0, 0) for w, h, p, d in ((0, 1, 1, 24), (2, 20001, 1, 24), (2, -(1 << 31), 1, 24), (2, 2, 2, 24), (2, 2, 1, 5))]
+    for before in (b"", bytes(22), unsound[0] + bytes(2), b"".join(unsound)):
+        assert I.find_bitmap(before + header + b"rows") == header + b"rows"
+    assert I.find_bitmap(b"".join(unsound)) is None and I.find_bitmap(bytes(1) + header) is None and I.find_bitmap(header[:39]) is None and I.find_bitmap(b"") is None
+
+
+def test_records_end_at_the_first_that_is_cut():
+    head = struct.pack("<H", 1) + bytes(16)
+    body = struct.pack("<IH", 4, 7) + b"ab" + struct.pack("<IH", 3, 8)
+    whole = [(7, b"ab"), (8, b"")]
+    listed = lambda data: [(f, bytes(b)) for f, b in I.records(data)]
+    assert listed(head + body) == listed(I.PLACEABLE + head + body) == listed(head + body + struct.pack("<IH", 2, 9)) == listed(head + body + struct.pack("<IH", 9, 9)) == whole
+    assert listed(b"\x03" + head[1:] + body) == listed(head[:17]) == listed(b"") == []
