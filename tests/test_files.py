@@ -235,3 +235,55 @@ def test_records_end_at_the_first_that_is_cut():
     listed = lambda data: [(f, bytes(b)) for f, b in I.records(data)]
     assert listed(head + body) == listed(I.PLACEABLE + head + body) == listed(head + body + struct.pack("<IH", 2, 9)) == listed(head + body + struct.pack("<IH", 9, 9)) == whole
     assert listed(b"\x03" + head[1:] + body) == listed(head[:17]) == listed(b"") == []
+
+
+def test_tasks_as_json(spark):
+    text = spark.range(1).select(imports.task_json(F.lit("a.pptx"), F.lit("L"), ImportOptions(body_size=14, card_group=True)).alias("t")).first()["t"]
+    rows = spark.createDataFrame([(text,), ('{"deck_id": "b.pdf"}',), ("no json",), (None,)], "task string")
+    got = {r["deck_id"]: (r["lesson_id"], r["options"]) for r in imports.read_tasks(rows).collect()}
+    assert set(got) == {"a.pptx", "b.pdf", None} and got["a.pptx"][0] == "L" and got["b.pdf"] == (None, None)
+    assert imports.options_of(got["a.pptx"][1]) == ImportOptions(body_size=14, card_group=True)
+    assert imports.options_of(None) == ImportOptions() and imports.options_of('{"unknown": 1, "card_group": null}') == ImportOptions()
+
+
+def test_long_imports_wait_in_the_queue(spark, tmp_path):
+    """Short files at once; of a lesson's long ones the first queued, further requests refused until a worker has finished it."""
+    source, folder = tmp_path / "in [x]", str(tmp_path / "out")
+    source.mkdir()
+    for name, n in (("short", 1), ("long", 3), ("longer", 4)):
+        (source / f"{name}.pptx").write_bytes(deck([slide(sp(para(f"{name} {i}"), ph='type="title"')) for i in range(n)]))
+    (source / "sheets.pdf").write_bytes(a_pdf(3))
+    files = package.decks(spark, str(tmp_path))
+    name = F.regexp_extract("deck_id", r"([^/]+)\.\w+$", 1)
+    lesson = F.when(name == "sheets", "M").otherwise("L")
+    fake = lambda data, dim, font: iter([(1, "page1.png", b"shot")])
+    titles = lambda: sorted(r["title"] for r in spark.read.parquet(f"{folder}/pages").collect())
+    refused = lambda batch: sorted(r["n"] for r in spark.read.parquet(f"{folder}/refused/batch={batch}").select(name.alias("n")).collect())
+    for _ in range(2):
+        imports.submit(files, folder, "0", ImportOptions(slide_title="S {}"), lesson, fake, threshold=2)
+        assert titles() == ["short 0"] and refused(0) == ["longer"]
+        assert sorted(r["n"] for r in imports.waiting(spark, folder).select(name.alias("n")).collect()) == ["long", "sheets"]
+    imports.submit(files.where(name == "short"), folder, "1", lesson=lesson, threshold=2)
+    assert titles() == ["short 0"] and refused(1) == ["short"]
+    (source / "sheets.pdf").unlink()
+    assert imports.work_off(spark, folder, fake, batches=5) == 2
+    assert titles() == ["long 0", "long 1", "long 2", "short 0"] and imports.waiting(spark, folder).count() == 0
+    assert imports.work_off(spark, folder, fake) == 0
+    imports.submit(package.decks(spark, str(source).replace("[", "\\[")).where(name == "short"), folder, "2", lesson=lesson, threshold=2)
+    assert [(r["page_id"], r["next_id"]) for r in sink.read_pages(spark, folder).orderBy("page_id").collect()] == [(1, 2), (2, 3), (3, 4), (4, 5), (5, 0)]
+
+
+def test_imports_prepare_their_media(spark, tmp_path):
+    """Large pictures shrink, drawings become PNG, blank pictures leave the page, complex slides become pictures if wanted."""
+    media = {"ppt/media/image1.png": solid(40, 30, 9, 9, 9, 255), "ppt/media/image2.png": solid(4, 3, 255, 255, 255, 255), "ppt/media/image3.wmf": wmf()}
+    rels = [[("rId1", "../media/image1.png"), ("rId2", "../media/image2.png"), ("rId3", "../media/image3.wmf")], [("rId1", "../media/image1.png")]]
+    at = lambda i: pic(f"rId{i}", 3000000 * i, 3000000, 900000, 900000)
+    led = slide(pic("rId1", 0, 0, 10000000, 6000000), sp(para("One"), 100, 100, 900000, 900000), sp(para("Two"), 5000000, 100, 900000, 900000))
+    rows = spark.createDataFrame([("d.pptx", bytearray(deck([slide(at(1), at(2), at(3)), led], rels, media)))], "deck_id string, content binary")
+    fake = lambda data, dim, font: iter([(1, "page1.png", b"one"), (2, "page2.png", b"two")])
+    imports.import_batch(rows, str(tmp_path), "0", ImportOptions(image_max_dim=20, smartart_images=True), renderer=fake)
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{tmp_path}/pages").collect()}
+    stored = {(r["page_id"], r["filename"]): bytes(r["bytes"]) for r in spark.read.parquet(f"{tmp_path}/media").collect()}
+    assert set(stored) == {(1, "image1.png"), (1, "image3.png"), (2, "page2.png")} and stored[2, "page2.png"] == b"two"
+    assert I.png_size(stored[1, "image1.png"]) == (20, 15) and I.png_size(stored[1, "image3.png"]) == (2, 2)
+    assert "image2" not in pages[1] and "page2.png" in pages[2]
