@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read that: ``durable`` for tables as large as the texts.
+
+    Columns are encoded and read one by one, so the table takes less than the texts.
+    """
+    ensure_shared_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a frame's size, without a job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

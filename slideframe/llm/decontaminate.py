@@ -5,9 +5,12 @@ is then searched from its rarest word: postings of those words (document,
 position, the words around) are stored, joined to the windows by word, and the
 alignment given by the two offsets is intersected word by word outwards.
 
-Scale: the documents are only scanned; what travels is the postings of rare
+Scale: the texts are parsed once, into a table of words in the shared folder
+that counting, posting and sizes read. What travels is the postings of rare
 benchmark words. Benchmark tables are broadcast only while their values take
-at most ``BROADCAST_BYTES``, as measured; beyond that Spark joins them by shuffle.
+at most ``BROADCAST_BYTES``, as measured; beyond that Spark joins them by
+shuffle, with words counted and contexts cut before. A benchmark row holds the words
+around one position, never a whole item.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, stored_bytes
+from .common import durable, stored_bytes, written
 
 #: ASCII but for digits and letters parts words; A-Z is lower-cased first.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -26,12 +29,19 @@ BROADCAST_BYTES = 64 << 20
 
 def words(text: Column) -> Column:
     """The words of a text; null has none."""
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS), lambda w: w != "")
+    t = F.coalesce(text, F.lit(""))
+    low = F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))  # the first is faster, and the same in ASCII
+    return F.array_remove(F.split(low, SEPARATORS), "")
+
+
+def _fits(df: DataFrame) -> bool:
+    """Whether a stored benchmark table may be broadcast."""
+    return stored_bytes(df) <= BROADCAST_BYTES
 
 
 def _small(df: DataFrame) -> DataFrame:
     """A stored benchmark table, marked for broadcast if its size allows."""
-    return F.broadcast(df) if stored_bytes(df) <= BROADCAST_BYTES else df
+    return F.broadcast(df) if _fits(df) else df
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -45,16 +55,25 @@ def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return durable(items.withColumn("key", F.xxhash64("item", "w")))
 
 
+def _context(at: str, radius: int) -> tuple[Column, Column]:
+    """Up to ``radius`` words of ``w`` to the left of a position, nearest first, and those to the right."""
+    return F.expr(f"reverse(slice(w, greatest({at} - {radius}, 0) + 1, least({at}, {radius})))"), F.expr(f"slice(w, {at} + 2, {radius})")
+
+
 def anchors_of(items: DataFrame, docs: DataFrame, window: int) -> DataFrame:
-    """(term, key, item, at, w): positions so chosen that each window holds its rarest word's position."""
+    """(term, item, left, right): positions so chosen that each window holds its rarest word's position, with the words around."""
     vocabulary = durable(items.select(F.explode("w").alias("term")).distinct())
-    found = docs.select(F.explode("w").alias("term")).join(_small(vocabulary), "term").groupBy("term").agg(F.count("*").alias("df"))
+    # an outer explode: a plain one adds a filter that would read each array twice; the null of an empty one meets no term
+    seen = docs.select(F.explode_outer("w").alias("term"))
+    count = F.count("*").alias("df")
+    found = seen.join(F.broadcast(vocabulary), "term").groupBy("term").agg(count) if _fits(vocabulary) else seen.groupBy("term").agg(count).join(vocabulary, "term")
     listed = items.select("key", F.posexplode("w").alias("at", "term")).join(durable(found), "term", "left")
     ranks = listed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("df", F.lit(0)).alias("df")))).alias("t"))
     rarest = F.expr(f"""explode(array_distinct(transform(sequence(0, greatest(size(t) - {window}, 0)),
         s -> array_min(transform(slice(t, s + 1, {window}), x -> struct(x.df as df, x.at as at))))))""")
     chosen = ranks.select("key", rarest.alias("a")).where("a.df > 0").select("key", F.col("a.at").alias("at"))
-    return durable(items.join(chosen, "key").select(F.col("w")[F.col("at")].alias("term"), "key", "item", "at", "w").distinct())
+    left, right = _context("at", window - 1)
+    return durable(items.join(chosen, "key").select(F.col("w")[F.col("at")].alias("term"), "item", left.alias("left"), right.alias("right")).distinct())
 
 
 def postings_of(docs: DataFrame, terms: DataFrame, radius: int) -> DataFrame:
@@ -62,9 +81,10 @@ def postings_of(docs: DataFrame, terms: DataFrame, radius: int) -> DataFrame:
 
     ``before`` holds up to ``radius`` words to the left, nearest first, ``after`` those to the right.
     """
-    rows = docs.select("id", "r", "w", F.posexplode("w").alias("pos", "term")).join(_small(terms), "term")
-    left = F.expr(f"reverse(slice(w, greatest(pos - {radius}, 0) + 1, least(pos, {radius})))")
-    return rows.select("term", "id", "r", "pos", left.alias("before"), F.expr(f"slice(w, pos + 2, {radius})").alias("after"))
+    before, after = _context("pos", radius)
+    cut = ["term", "id", "r", "pos", before.alias("before"), after.alias("after")]
+    rows = docs.select("id", "r", "w", F.posexplode_outer("w").alias("pos", "term"))
+    return rows.join(F.broadcast(terms), "term").select(*cut) if _fits(terms) else rows.select(*cut).join(terms, "term")
 
 
 def _run(a: str, b: str) -> Column:
@@ -75,21 +95,16 @@ def _run(a: str, b: str) -> Column:
 
 def phrase_hits(postings: DataFrame, anchors: DataFrame, window: int) -> DataFrame:
     """(id, r, item, lo, hi): word ranges, ends exclusive, that consist of occurring windows."""
-    aligned = postings.join(_small(anchors), "term")
-    reach = window - 1
-    aligned = aligned.withColumns({
-        "mine_before": F.expr(f"reverse(slice(w, greatest(at - {reach}, 0) + 1, least(at, {reach})))"),
-        "mine_after": F.expr(f"slice(w, at + 2, {reach})"),
-        "need": F.least(F.size("w"), F.lit(window)),
-    })
-    runs = aligned.withColumns({"a": _run("before", "mine_before"), "b": _run("after", "mine_after")})
-    return runs.where("a + b + 1 >= need").select("id", "r", "item", (F.col("pos") - F.col("a")).cast("long").alias("lo"), (F.col("pos") + F.col("b") + 1).cast("long").alias("hi")).distinct()
+    runs = postings.join(_small(anchors), "term").withColumns({"a": _run("before", "left"), "b": _run("after", "right")})
+    need = F.least(F.size("left") + F.size("right") + 1, F.lit(window))  # fewer only for items that are shorter
+    return runs.where(F.col("a") + F.col("b") + 1 >= need).select("id", "r", "item", (F.col("pos") - F.col("a")).cast("long").alias("lo"), (F.col("pos") + F.col("b") + 1).cast("long").alias("hi")).distinct()
 
 
 def near_ranges(postings: DataFrame, anchors: DataFrame, window: int) -> DataFrame:
     """(id, r, item, lo, hi): contexts of postings, as word ranges, that hold all words of a window in any order."""
-    windows = anchors.withColumn("s", F.expr(f"explode(sequence(greatest(at - {window} + 1, 0), least(at, greatest(size(w) - {window}, 0))))"))
-    windows = durable(windows.select("term", "item", F.expr(f"array_distinct(slice(w, s + 1, {window}))").alias("need")))
+    around = anchors.select("term", "item", F.size("left").alias("at"), F.concat(F.reverse("left"), F.array("term"), "right").alias("w"))
+    windows = around.withColumn("s", F.expr(f"explode(sequence(greatest(at - {window} + 1, 0), least(at, greatest(size(w) - {window}, 0))))"))
+    windows = durable(windows.select("term", "item", F.expr(f"array_distinct(slice(w, s + 1, {window}))").alias("need")).distinct())
     met = postings.join(_small(windows), "term").where(F.size(F.array_except("need", F.concat("before", "after", F.array("term")))) == 0)
     return met.select("id", "r", "item", (F.col("pos") - F.size("before")).cast("long").alias("lo"), (F.col("pos") + F.size("after") + 1).cast("long").alias("hi")).distinct()
 
@@ -101,7 +116,7 @@ def near_hits(postings: DataFrame, anchors: DataFrame, window: int) -> DataFrame
 
 def _indexed(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The parsed documents, the anchors, and the stored index."""
-    parsed = _documents(docs, id_col, text_col)
+    parsed = written(_documents(docs, id_col, text_col).withColumn("n_words", F.size("w").cast("long")))
     items = items_of(benchmark, item_col, item_text_col)
     anchors = anchors_of(items, parsed, window)
     return parsed, anchors, durable(postings_of(parsed, durable(anchors.select("term").distinct()), window - 1))
@@ -141,7 +156,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     n_hit = hits.select("id", "r", "lo", "hi").distinct().withColumn("adds", adds).groupBy("id", "r").agg(F.sum("adds").alias("n_hit"))
     met = hits.select("id", "r", "item").distinct().groupBy("id", "r").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
     met = n_hit.alias("n").join(met.alias("m"), F.expr("n.id <=> m.id and n.r = m.r")).select("n.id", "n.r", "n_hit", "n_items", "items")
-    sizes = parsed.select("id", "r", F.size("w").cast("long").alias("n_words"))
+    sizes = parsed.select("id", "r", "n_words")
     out = sizes.alias("d").join(met.alias("m"), F.expr("d.id <=> m.id and d.r = m.r"), "left")
     out = out.select("d.id", "d.r", "n_words", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_hit", "n_items")], F.coalesce("items", F.lit("")).alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
