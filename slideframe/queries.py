@@ -317,8 +317,11 @@ def newest_upload(spark, sf):
 
 @query("blank_vectors", "SELECT vec_id, len(list_filter(embedding, lambda v: NOT abs(v) < 0.35)) = 0 AS is_blank FROM embeddings")
 def blank_vectors(spark, sf):
-    clear = F.transform("embedding", lambda v: F.struct(F.when(F.abs(v) < 0.35, 127).otherwise(0).alias("alpha"), F.lit(0).alias("red"), F.lit(0).alias("green"), F.lit(0).alias("blue")))
-    return table(spark, sf, "embeddings").select("vec_id", G.all_blank(clear).alias("is_blank"))
+    vectors = table(spark, sf, "embeddings")
+    # As in SQL, 0.35 is compared in the components' own type, and null components don't count against a vector.
+    limit = F.lit(0.35).cast(vectors.schema["embedding"].dataType.elementType)
+    clear = F.transform("embedding", lambda v: F.struct(F.when(~(F.abs(v) < limit), 0).otherwise(127).alias("alpha"), F.lit(0).alias("red"), F.lit(0).alias("green"), F.lit(0).alias("blue")))
+    return vectors.select("vec_id", G.all_blank(clear).alias("is_blank"))
 
 
 @query("table_html", "SELECT n_regionkey, '<table class=\"table\"><thead><tr><th>key</th><th>name</th></tr></thead><tbody>' || string_agg('<tr><td>' || n_nationkey || '</td><td>' || n_name || '</td></tr>', '' ORDER BY n_nationkey) || '</tbody></table>' AS html FROM nation GROUP BY n_regionkey")
